@@ -20,18 +20,20 @@ from pyspark.sql import DataFrame
 
 from . import frames, textkit
 
+# A bounded count in a rule multiplies the states of the combined automaton, so
+# least lengths are checked on what was found, except for runs of hex digits.
 # The rules, in the order in which spans that start together are listed.
 # (kind, regex, least length of the last group or None, least length of the match)
 RULES = (
     ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 0),
-    ("access", r"AKIA[A-Z0-9]{16,}", None, 20),
+    ("access", r"AKIA[A-Z0-9]+", None, 20),
     ("hex", r"[0-9a-f]{24,}", None, 24),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", None, 0),
-    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", None, 0),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", None, 0),
-    ("google", r"AIza[A-Za-z0-9_-]{35,}", None, 0),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", None, 0),
-    ("url_password", r"[a-z][a-z0-9+]{1,12}://[A-Za-z0-9._-]+:[A-Za-z0-9._~!$%*-]+@", None, 0),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", None, 40),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", None, 15),
+    ("google", r"AIza[A-Za-z0-9_-]+", None, 39),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", None, 36),
+    ("url_password", r"[a-z][a-z0-9+]+://[A-Za-z0-9._-]+:[A-Za-z0-9._~!$%*-]+@", None, 0),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -185,14 +187,20 @@ class Automaton:
     dead: int
 
 
-def build(nodes: list, anywhere: bool) -> Automaton:
-    """The minimal automaton of some syntax trees; ``anywhere``: matches may begin at any byte."""
+def build(nodes: list, anywhere: bool, once: bool = False) -> Automaton:
+    """The minimal automaton of some syntax trees.
+
+    ``anywhere``: matches may begin at any byte. ``once``: it need only tell
+    that a rule has matched, so what is under way for a rule that has is left;
+    without this, loops of all rules multiply in the combined automaton.
+    """
     nfa = _Nfa()
-    root, ends = nfa.state(), {}
+    root, ends, owned = nfa.state(), {}, {}
     for k, node in enumerate(nodes):
         start = nfa.state()
         nfa.empty[root].append(start)
-        ends[nfa.add(node, start)] = k
+        end = nfa.add(node, start)
+        ends[end], owned[end] = k, frozenset(range(start, len(nfa.empty))) - {end}
     sets = sorted({s for m in nfa.moves for s, _ in m}, key=sorted)
     signature: dict[tuple, int] = {}
     classes = bytes(signature.setdefault(tuple(b in s for s in sets), len(signature)) for b in range(256))
@@ -206,6 +214,9 @@ def build(nodes: list, anywhere: bool) -> Automaton:
                 if x not in seen:
                     seen.add(x)
                     todo.append(x)
+        if once:
+            for e in owned.keys() & seen:
+                seen -= owned[e]
         return frozenset(seen)
 
     first = closed([root])
@@ -248,7 +259,7 @@ class Scanner:
     def __init__(self, rules=RULES):
         self.rules = rules
         trees = [_Parser(r[1]).parse() for r in rules]
-        self.all = build(trees, True)
+        self.all = build(trees, True, once=True)
         self.own = [build([t], False) for t in trees]
         self.back = [build([reverse(t)], True) for t in trees]
         self.group = [re.compile(r[1].encode()) if r[2] else None for r in rules]
@@ -322,9 +333,10 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", rules=RULES) -> Dat
     """
     out = "secrets array<struct<kind: string, start: int, end: int>>"
     kinds = [r[0] for r in rules]
+    shared = df.sparkSession.sparkContext.broadcast(scanner(rules))  # of a size that the rules fix
 
     def run(batch: pa.RecordBatch) -> dict:
-        s, found = scanner(rules), []
+        s, found = shared.value, []
         for _, texts in textkit.text_slices(batch, text):
             found += [[{"kind": kinds[k], "start": a, "end": b} for k, a, b in s.scan(t)] for t in texts]
         return {"secrets": pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))}
@@ -336,9 +348,10 @@ def redact(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The same rows and columns, each secret in ``text`` replaced by ``[kind]``; overlapping spans become one, named by the first."""
     names = df.columns
     kinds = [r[0] for r in rules]
+    shared = df.sparkSession.sparkContext.broadcast(scanner(rules))
 
     def run(batch: pa.RecordBatch) -> dict:
-        s, out = scanner(rules), []
+        s, out = shared.value, []
         valid = batch.column(batch.schema.get_field_index(text)).is_valid().to_pylist()
         for at, texts in textkit.text_slices(batch, text):
             for i, t in enumerate(texts):
