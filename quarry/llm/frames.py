@@ -104,3 +104,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = small.where("a > b").distinct().checkpoint()
     label = e.select(F.col("a").alias("id"), F.col("b").alias("m")).groupBy("id").agg(F.min("m").alias("m"))
     return nodes.distinct().join(label, "id", "left").select("id", F.coalesce("m", "id").alias("component"))
+
+
+def save_array(uri: str, array) -> None:
+    """Writes a numpy array to the shared folder, whole or not at all; a task that runs again writes the same."""
+    import io
+    import os
+
+    import numpy as np
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if isinstance(system, fs.LocalFileSystem):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    held = io.BytesIO()
+    np.save(held, array)
+    with system.open_output_stream(own) as f:
+        f.write(held.getbuffer())
+    system.move(own, path)
+
+
+def load_array(uri: str):
+    """An array of the shared folder: mapped into memory where the folder is mounted, else read."""
+    import io
+
+    import numpy as np
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.load(path, mmap_mode="r")
+    with system.open_input_stream(path) as f:
+        return np.load(io.BytesIO(f.read()))
