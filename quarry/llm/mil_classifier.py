@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
 A text is cut into passages of 64 words. Each is encoded from hashed words and
-byte trigrams and a few surface shares; gated attention weighs the encoded
+byte trigrams and a few surface shares, one of them how much of it the text repeats; gated attention weighs the encoded
 passages and a logistic unit scores their weighted sum. Encoder, attention and
 unit are learned together from labels of documents.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from . import frames, textkit
 from .quality_rules import labelled
 
-PASSAGE_WORDS, HASHED, SURFACE, HIDDEN, ATTENTION = 64, 256, 12, 32, 16
+PASSAGE_WORDS, HASHED, SURFACE, HIDDEN, ATTENTION = 64, 256, 13, 32, 16
 #: The most labelled documents that a fit reads, and passes over them.
 FIT_ROWS, EPOCHS = 1500, 25
 _SIZE = 2 * HASHED + SURFACE
@@ -61,6 +61,15 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         again = np.concatenate(([False], (o[1:] == o[:-1]) & (h[1:] == h[:-1])))
         x[:, 2 * HASHED + 10] = np.bincount(o[again], minlength=total) / n_words
         x[:, 2 * HASHED + 11] = np.bincount(own, minlength=total) / PASSAGE_WORDS
+        # What the passage shares with the rest of its text: 5-word runs that the text has twice or more.
+        run = textkit.windows(w.hash, 5)
+        within = w.doc[4:] == w.doc[:-4] if len(run) else np.zeros(0, bool)
+        with np.errstate(over="ignore"):
+            key = textkit.mix(run[within] + w.doc[: len(run)][within].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        twice = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(key) else order
+        x[:, 2 * HASHED + 12] = np.bincount(own[: len(run)][within][twice], minlength=total) / n_words
     return x, np.repeat(np.arange(len(texts)), per)
 
 

@@ -48,7 +48,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(x):
         return F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
 
-    kinds = [F.size(F.filter("secrets", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    def number(kind: str):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    kinds = [number(k) for k in secrets.BASE_KINDS]
     base = F.filter("secrets", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
     return found.select("doc_id", *kinds, F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"), F.array_join(F.transform("secrets", text), ",").alias("spans"))
 
