@@ -19,7 +19,7 @@ from .quality_rules import labelled
 
 PASSAGE_WORDS, HASHED, SURFACE, HIDDEN, ATTENTION = 64, 256, 13, 32, 16
 #: The most labelled documents that a fit reads, and passes over them.
-FIT_ROWS, EPOCHS = 1500, 25
+FIT_ROWS, EPOCHS = 1500, 15
 _SIZE = 2 * HASHED + SURFACE
 _CLASS = np.zeros(256, np.int64)
 for _chars, _k in ((range(48, 58), 1), (range(65, 91), 2), (range(97, 123), 3), (b"#*$%&|<>~^@\\{}[]=+", 4), (b".,;:!?", 5), (range(128, 256), 6), (b"\n", 7)):
@@ -81,12 +81,20 @@ class MilModel:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         x, doc = passages(texts)
-        return _forward(self.p, (x - self.mean) * self.scale, doc, len(texts))[-1]
+        return _forward(self.p, _standard(x, self.mean, self.scale), doc, len(texts))[-1]
 
     def weights(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The attention weight of each passage, and its text."""
         x, doc = passages(texts)
-        return _forward(self.p, (x - self.mean) * self.scale, doc, len(texts))[4], doc
+        return _forward(self.p, _standard(x, self.mean, self.scale), doc, len(texts))[4], doc
+
+
+#: Standardised features are held within this, so that a rare bucket can't outweigh the rest.
+_MOST = 4.0
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) * scale, -_MOST, _MOST)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -134,23 +142,27 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: i
 
     got = frames.arrow_map(labelled(documents, labels, rows, label), run, ["doc_id", "label"], "features binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.features))
+    bags = [np.frombuffer(r.features, np.float16).reshape(-1, _SIZE).astype(np.float32) for r in got]
+    return learn(bags, np.array([r.label for r in got], float), epochs)
+
+
+def learn(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> MilModel:
+    """A model of texts given as the features of their passages, with labels 0 and 1."""
     rng = np.random.default_rng(7)
     p = {"W": rng.normal(0, _SIZE**-0.5, (_SIZE, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "w": rng.normal(0, 0.3, ATTENTION), "c": rng.normal(0, 0.3, HIDDEN), "d": np.zeros(1)}
-    y = np.array([r.label for r in got], float)
     if len(set(y)) < 2:
         p = {k: np.zeros_like(v) for k, v in p.items()} | {"d": np.array([0.0 if not len(y) else 20.0 if y[0] else -20.0])}
         return MilModel(np.zeros(_SIZE), np.ones(_SIZE), p)
-    bags = [np.frombuffer(r.features, np.float16).reshape(-1, _SIZE).astype(np.float32) for r in got]
     every = np.concatenate(bags)
     mean, scale = every.mean(0), 1 / (every.std(0) + 1e-3)
     del every
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    weight = np.ones(len(y))
     m, v, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
         for i in range(0, len(order), 64):
             take = order[i : i + 64]
-            x = (np.concatenate([bags[j] for j in take]) - mean) * scale
+            x = _standard(np.concatenate([bags[j] for j in take]), mean, scale)
             doc = np.repeat(np.arange(len(take)), [len(bags[j]) for j in take])
             g = _backward(p, x, doc, y[take], weight[take] / len(take))
             step += 1
