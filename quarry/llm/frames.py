@@ -137,3 +137,18 @@ def load_array(uri: str):
         return np.load(path, mmap_mode="r")
     with system.open_input_stream(path) as f:
         return np.load(io.BytesIO(f.read()))
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of Arrow batches that are sorted by their first column, by its value: one value's rows in memory at a time."""
+    at, held = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = [c[i].as_py() for c in batch.columns]
+            if row[0] != at and held:
+                yield at, held
+                held = []
+            at = row[0]
+            held.append(tuple(row[1:]))
+    if held:
+        yield at, held

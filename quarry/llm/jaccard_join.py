@@ -31,6 +31,8 @@ N, PERCENT = 5, 80
 COMMON = 64
 #: Bytes of text whose n-grams are packed together; classes in a block of comparisons; words of a parity bitmap.
 GROUP_BYTES, BLOCK, BITS = 8 << 20, 128, 64
+#: Fragments for each shuffle partition, and n-grams of a task's fragments that are regrouped by set before they leave it.
+FRAGMENTS, EMIT = 4, 1 << 20
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -144,44 +146,12 @@ def shared_grams(df: DataFrame, text: str = "text", n: int = N) -> DataFrame:
     ``grams`` are in the global order; ``weights`` has in how many sets each
     occurs, as far as COMMON.
     """
-    fragments = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = T._parse_datatype_string("class long, fragment int, items binary")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fragments = min(FRAGMENTS * parts, 1 << 15)
+    schema = T._parse_datatype_string("class long, items binary")
     arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        plain: dict[int, list] = {}
-        counted: dict[int, list] = {}
-        direct = []
-        for batch in batches:
-            for f, common, keys, sizes, grams in zip(*(c.to_pylist() for c in batch.columns)):
-                if common:
-                    k, c = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32)
-                    direct.append((np.repeat(k, c), np.frombuffer(grams, np.uint64)))
-                elif common is None:
-                    counted.setdefault(f, []).append((np.frombuffer(sizes, np.int32), _restore(grams)))
-                else:
-                    k, c = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32)
-                    plain.setdefault(f, []).append((np.repeat(k, c), _restore(grams)))
-        made = []
-        for f in {*plain, *counted}:
-            own, gram = (np.concatenate(x) for x in zip(*plain.pop(f, [(np.zeros(0, np.int64), _EMPTY)])))
-            order = np.lexsort((own, gram))
-            own, gram = own[order], gram[order]
-            new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])))[: len(own)]
-            own, gram = own[new], gram[new]
-            u, inv, df_ = np.unique(gram, return_inverse=True, return_counts=True)
-            for c, g in counted.pop(f, []):
-                at = np.searchsorted(u, g)
-                hit = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == g) if len(u) else np.zeros(len(g), bool)
-                np.add.at(df_, at[hit], c[hit])
-            df_ = np.minimum(df_, COMMON)
-            keep = df_[inv] >= 2
-            made.append((own[keep], gram[keep] | np.uint64(f) << np.uint64(48), df_[inv][keep]))
-        for own, gram in direct:
-            top = ((gram >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)) << np.uint64(48)
-            made.append((own, gram & np.uint64((1 << 48) - 1) | top, np.full(len(own), COMMON)))
-        if not made:
-            return
+    def emit(made):
         own, gram, weight = (np.concatenate(x) for x in zip(*made))
         order = np.lexsort((gram, own))
         own, gram, weight = own[order], gram[order], weight[order].astype(np.uint8)
@@ -190,9 +160,51 @@ def shared_grams(df: DataFrame, text: str = "text", n: int = N) -> DataFrame:
         for i in range(0, len(cut), 4096):
             a, e = cut[i : i + 4096], end[i : i + 4096]
             items = [gram[x:y].tobytes() + weight[x:y].tobytes() for x, y in zip(a, e)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(np.zeros(len(a), np.int32)), pa.array(items, pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(items, pa.binary())], schema=arrow)
+
+    def shared(f, rows):
+        """(class, n-gram, sets) of one fragment's n-grams in two sets or more."""
+        plain, counted, made = [(np.zeros(0, np.int64), _EMPTY)], [], []
+        top = np.uint64(f) << np.uint64(48)
+        for common, keys, sizes, grams in rows:
+            k, c = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32)
+            if common:
+                gram = np.frombuffer(grams, np.uint64)
+                own_top = ((gram >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)) << np.uint64(48)
+                made.append((np.repeat(k, c), gram & np.uint64((1 << 48) - 1) | own_top, np.full(len(gram), COMMON)))
+            elif common is None:
+                counted.append((c, _restore(grams)))
+            else:
+                plain.append((np.repeat(k, c), _restore(grams)))
+        own, gram = (np.concatenate(x) for x in zip(*plain))
+        order = np.lexsort((own, gram))
+        own, gram = own[order], gram[order]
+        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])))[: len(own)]
+        own, gram = own[new], gram[new]
+        start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))[: len(gram)])
+        sets, u = np.diff(np.append(start, len(gram))), gram[start]
+        times = sets.copy()
+        for c, g in counted if len(u) else ():
+            at = np.minimum(np.searchsorted(u, g), len(u) - 1)
+            hit = u[at] == g
+            np.add.at(times, at[hit], c[hit])
+        weight = np.repeat(np.minimum(times, COMMON), sets)
+        keep = weight >= 2
+        return [*made, (own[keep], gram[keep] | top, weight[keep])]
 
-    pieces = _pack(df, text, n, fragments).repartition(fragments, "fragment").mapInArrow(run, schema)
+    def run(batches):
+        made, size = [], 0
+        for f, rows in frames.runs_of(batches):
+            made += shared(f, rows)
+            size = sum(len(x[0]) for x in made)
+            if size >= EMIT:
+                yield from emit(made)
+                made = []
+        if made:
+            yield from emit(made)
+
+    packed = _pack(df, text, n, fragments).repartition(parts, "fragment").sortWithinPartitions("fragment")
+    pieces = packed.mapInArrow(run, schema)
     return pieces.groupBy("class").agg(F.collect_list("items").alias("items"))
 
 
