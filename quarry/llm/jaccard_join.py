@@ -257,7 +257,7 @@ def _linked(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 def _rest(posts: DataFrame) -> DataFrame:
     """Pairs of one prefix n-gram's classes in different components that sizes and bitmaps leave possible.
 
-    ``posts``: (gram, class, n, comp, bitmap) of n-grams with two components or
+    ``posts``: (gram, class, n, comp, shared, bitmap) of n-grams with two components or
     more. A long list is cut into blocks, and each two blocks meet in a row.
     """
     counts = posts.groupBy("gram").agg(F.count("*").alias("len"))
@@ -265,7 +265,7 @@ def _rest(posts: DataFrame) -> DataFrame:
     chunk = (
         posts.join(counts, "gram").withColumn("k", blocks)
         .groupBy("gram", "k", F.pmod(F.xxhash64("class"), F.col("k")).cast("int").alias("c"))
-        .agg(F.collect_list(F.struct("class", "n", "comp", "bitmap")).alias("m"))
+        .agg(F.collect_list(F.struct("class", "n", "comp", "shared", "bitmap")).alias("m"))
     )
     left = chunk.withColumn("d", F.explode(F.sequence(F.col("c"), F.col("k") - 1)))
     met = left.join(chunk.select("gram", F.col("c").alias("d"), F.col("m").alias("m2")), ["gram", "d"]).select("m", "m2")
@@ -273,19 +273,19 @@ def _rest(posts: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def arrays(m):
-        cols = [np.array([r[k] for r in m], np.int64) for k in ("class", "n", "comp")]
+        cols = [np.array([r[k] for r in m], np.int64) for k in ("class", "n", "comp", "shared")]
         return [*cols, np.frombuffer(b"".join(r["bitmap"] for r in m), np.uint64).reshape(len(m), BITS)]
 
     def run(batches):
         for batch in batches:
             xs, ys = [_z], [_z]
             for m, m2 in zip(batch.column(0), batch.column(1)):
-                cls, n, comp, bits = arrays(m.as_py())
-                cls2, n2, comp2, bits2 = arrays(m2.as_py())
+                cls, n, comp, held, bits = arrays(m.as_py())
+                cls2, n2, comp2, held2, bits2 = arrays(m2.as_py())
                 for i in range(len(cls)):
                     differ = np.bitwise_count(bits2 ^ bits[i]).sum(1)
-                    # The overlap is at most (|x| + |y| - differing) / 2.
-                    most = np.minimum(np.minimum(n[i], n2), (n[i] + n2 - differ) // 2)
+                    # Of the n-grams that other sets hold, x and y share at most (|x| + |y| - differing) / 2.
+                    most = np.minimum(np.minimum(held[i], held2), (held[i] + held2 - differ) // 2)
                     ok = (comp[i] != comp2) & (100 * most >= PERCENT * (n[i] + n2 - most))
                     xs.append(np.minimum(cls[i], cls2[ok]))
                     ys.append(np.maximum(cls[i], cls2[ok]))
@@ -313,7 +313,7 @@ def links(df: DataFrame, text: str = "text", n: int = N, sizes: DataFrame | None
     placed = posts.join(comps, posts["class"] == comps["id"], "left").select("gram", "class", "n", F.coalesce("component", "class").alias("comp"))
     placed = frames.written(placed, "posts")
     open_lists = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    unsettled = placed.join(open_lists, "gram", "left_semi").join(profiles.select("class", "bitmap"), "class")
+    unsettled = placed.join(open_lists, "gram", "left_semi").join(profiles.select("class", F.size("grams").alias("shared"), "bitmap"), "class")
     second = frames.written(_linked(_rest(unsettled), profiles), "links")
     every = first.union(second)
     return every, frames.components(every)
