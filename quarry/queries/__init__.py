@@ -1,4 +1,6 @@
 """Queries of the library's operators by name, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import corpus, links, streams
+
+QUERIES = {**links.QUERIES, **corpus.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**links.ORACLE_SQL, **corpus.ORACLE_SQL, **streams.ORACLE_SQL}
