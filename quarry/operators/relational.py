@@ -59,9 +59,9 @@ def edge_diff(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def noisy_or(links: DataFrame, keys: Sequence[str], confidence: str, weight: Column) -> DataFrame:
-    """1 - product of (1 - confidence * weight) by key, each factor held to 0.999999; a null confidence counts as 0."""
+    """1 - product of (1 - confidence * weight) by key, each factor held to 0.999999; a null confidence counts as 0. Six places, halves up."""
     p = F.least(F.greatest(F.coalesce(F.col(confidence), F.lit(0.0)) * weight, F.lit(0.0)), F.lit(0.999999))
-    return links.groupBy(*keys).agg(F.round(1 - F.exp(F.sum(F.log(1 - p))), 6).alias("fused"), F.count("*").alias("link_count"))
+    return links.groupBy(*keys).agg(F.round(1 + 1e-9 - F.exp(F.sum(F.log(1 - p))), 6).alias("fused"), F.count("*").alias("link_count"))
 
 
 def dense_counts(counts: DataFrame, group: str, year: str, first: int, last: int) -> DataFrame:

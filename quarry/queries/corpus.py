@@ -11,7 +11,7 @@ from .base import Registry
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
-TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), x -> x <> '')"
+TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
 
 
 @query("SELECT lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY n DESC, value LIMIT 10")
@@ -138,8 +138,8 @@ def spearman(t):
     return stats.spearman(t.lineitem, "l_quantity", "l_discount")
 
 
-_Q = "(SELECT list_transform(embedding, x -> CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 1)"
-_COS = f"round(list_cosine_similarity(list_transform(embedding, x -> CAST(x AS DOUBLE)), (SELECT q FROM {_Q})), 6)"
+_Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1)"
+_COS = f"round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT q FROM {_Q})), 6)"
 
 
 def _query_vector(t) -> list[float]:
@@ -156,7 +156,7 @@ def vec_filter_first(t):
     return retrieval.vector_search(t.embeddings, "vec_id", "embedding", _query_vector(t), 20, F.col("label") == 3)
 
 
-@query("WITH e AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE vec_id IN (1, 2, 3)), q AS (SELECT list(y ORDER BY i) AS q FROM (SELECT i, 2 * avg(x) FILTER (vec_id < 3) - avg(x) FILTER (vec_id = 3) AS y FROM u GROUP BY i)) SELECT vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM e, q WHERE vec_id NOT IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10")
+@query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE vec_id IN (1, 2, 3)), q AS (SELECT list(y ORDER BY i) AS q FROM (SELECT i, 2 * avg(x) FILTER (vec_id < 3) - avg(x) FILTER (vec_id = 3) AS y FROM u GROUP BY i)) SELECT vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM e, q WHERE vec_id NOT IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10")
 def vec_recommend(t):
     """Twice the mean of the liked less the mean of the disliked; the examples themselves are left out."""
     rows = {r.vec_id: r.embedding for r in t.embeddings.where("vec_id in (1, 2, 3)").collect()}
@@ -212,7 +212,7 @@ def resolve_ladder(t):
     return entities.resolve(m, n)
 
 
-@query(f"WITH t AS (SELECT item_id, {TOKENS.format('text')} AS w FROM benchmark), g AS (SELECT item_id, unnest(w) AS gram FROM t UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM t) SELECT gram, count(*) AS n FROM g GROUP BY gram")
+@query(f"WITH t AS (SELECT item_id, {TOKENS.format('text')} AS w FROM benchmark), g AS (SELECT item_id, unnest(w) AS gram FROM t UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t) SELECT gram, count(*) AS n FROM g GROUP BY gram")
 def ngram_counts(t):
     return entities.ngrams(t.benchmark, "item_id", "text", 2).groupBy("gram").agg(F.count("*").alias("n"))
 
@@ -249,7 +249,7 @@ def session_replay(t):
     return t.conversations.select("conv_id", "turn", "role", F.count("*").over(w).alias("seen"))
 
 
-@query("WITH r AS (SELECT a.vec_id AS q, b.vec_id AS d, CAST(a.label = b.label AS INT) AS rel, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(list_transform(a.embedding, x -> CAST(x AS DOUBLE)), list_transform(b.embedding, x -> CAST(x AS DOUBLE))), 6) DESC, b.vec_id) AS rk FROM embeddings a, embeddings b WHERE a.vec_id <= 5 AND b.vec_id <> a.vec_id), k AS (SELECT * FROM r WHERE rk <= 10), i AS (SELECT sum(1 / log2(x + 1)) AS ideal FROM (SELECT unnest(generate_series(1, 10)) AS x)) SELECT q, round(sum(rel) / 10.0, 6) AS precision_10, round(coalesce(max(rel * 1.0 / rk), 0), 6) AS rr, round(sum(rel / log2(rk + 1)) / max(ideal), 6) AS ndcg FROM k, i GROUP BY q")
+@query("WITH r AS (SELECT a.vec_id AS q, b.vec_id AS d, CAST(a.label = b.label AS INT) AS rel, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a, embeddings b WHERE a.vec_id <= 5 AND b.vec_id <> a.vec_id), k AS (SELECT * FROM r WHERE rk <= 10), i AS (SELECT sum(1 / log2(x + 1)) AS ideal FROM (SELECT unnest(generate_series(1, 10)) AS x)) SELECT q, round(sum(rel) / 10.0, 6) AS precision_10, round(coalesce(max(rel * 1.0 / rk), 0), 6) AS rr, round(sum(rel / log2(rk + 1)) / max(ideal), 6) AS ndcg FROM k, i GROUP BY q")
 def ir_metrics(t):
     """Same-label precision, reciprocal rank and nDCG (10 relevant at least) at 10 of a few stated queries."""
     asked = t.embeddings.where("vec_id <= 5").collect()

@@ -79,7 +79,7 @@ def edge_diff_overall(t):
     return d.agg(F.count("*").alias("total"), F.count_if(F.expr("in_a and in_b")).alias("both_sides"), F.count_if(F.expr("in_a and not in_b")).alias("only_a"), F.count_if(F.expr("in_b and not in_a")).alias("only_b"))
 
 
-@query("SELECT l_partkey, l_suppkey, round(1 - exp(sum(ln(1 - least(greatest(coalesce(1 - l_discount, 0.0) * (CASE l_linenumber % 5 WHEN 0 THEN 0.98 WHEN 1 THEN 0.95 WHEN 2 THEN 0.85 WHEN 3 THEN 0.7 ELSE 0.5 END), 0.0), 0.999999)))), 6) AS fused, count(*) AS link_count FROM lineitem GROUP BY ALL")
+@query("SELECT l_partkey, l_suppkey, round(1 + 1e-9 - exp(sum(ln(1 - least(greatest(coalesce(1 - l_discount, 0.0) * (CASE l_linenumber % 5 WHEN 0 THEN 0.98 WHEN 1 THEN 0.95 WHEN 2 THEN 0.85 WHEN 3 THEN 0.7 ELSE 0.5 END), 0.0), 0.999999)))), 6) AS fused, count(*) AS link_count FROM lineitem GROUP BY ALL")
 def noisy_or_fusion(t):
     w = F.element_at(F.array(*map(F.lit, (0.98, 0.95, 0.85, 0.7, 0.5))), (F.col("l_linenumber") % 5 + 1).cast("int"))
     return relational.noisy_or(t.lineitem.withColumn("conf", 1 - F.col("l_discount")), ["l_partkey", "l_suppkey"], "conf", w)
@@ -106,7 +106,7 @@ def bfs_depth(t):
     return graph.bfs(t.graph(), [1], 3).select("node", "hop")
 
 
-@query(f"WITH RECURSIVE {GRAPH}, both AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph), walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM walk JOIN both ON node = src WHERE hop < 2) SELECT hop, count(*) AS n FROM (SELECT node, min(hop) AS hop FROM walk GROUP BY node) GROUP BY hop")
+@query(f"WITH RECURSIVE {GRAPH}, ways AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph), walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM walk JOIN ways ON node = src WHERE hop < 2) SELECT hop, count(*) AS n FROM (SELECT node, min(hop) AS hop FROM walk GROUP BY node) GROUP BY hop")
 def khop(t):
     return graph.bfs(t.graph(), [1], 2, "all").groupBy("hop").agg(F.count("*").alias("n"))
 
@@ -146,7 +146,7 @@ def hits_2(t):
     return r.select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 5 < 2), both AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS node, a AS root FROM both UNION SELECT b, root FROM walk JOIN both ON node = a) SELECT node, min(root) AS component FROM walk GROUP BY node")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 5 < 2), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS node, a AS root FROM ways UNION SELECT b, root FROM walk JOIN ways ON node = a) SELECT node, min(root) AS component FROM walk GROUP BY node")
 def components(t):
     return graph.components(t.customer.where("c_custkey % 5 < 2").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 7).alias("dst")))
 
