@@ -1,6 +1,6 @@
 """Queries of the library's operators by name, and their DuckDB SQL."""
 
-from . import corpus, links, streams
+from . import corpus, links, reviews, streams
 
-QUERIES = {**links.QUERIES, **corpus.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**links.ORACLE_SQL, **corpus.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**links.QUERIES, **corpus.QUERIES, **reviews.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**links.ORACLE_SQL, **corpus.ORACLE_SQL, **reviews.ORACLE_SQL, **streams.ORACLE_SQL}

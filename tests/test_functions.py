@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import entities, graph
+from quarry.operators import entities, graph, reviews
 
 
 def test_markers_expand_ranges(spark):
@@ -32,3 +32,24 @@ def test_ladder_prefers_canonical(spark):
     m = spark.createDataFrame([("HST",), ("X",)], "mention string")
     n = spark.createDataFrame([("a", "hst", "canonical"), ("b", "HST", "alias"), ("c", "x", "alias")], "entity string, name string, kind string")
     assert {tuple(r) for r in entities.resolve(m, n).collect()} == {("HST", "a", 1.0), ("X", "c", 0.9)}
+
+
+def test_relations_of_citing_texts(spark):
+    rows = ["Our result partially agrees with it", "It disagrees with A", "This extends A", "We confirm A", "It may confirm A", "Maybe A", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = [tuple(r) for r in df.orderBy("i").select(reviews.relation(F.col("t")), reviews.hedged(F.col("t"))).collect()]
+    assert got == [("partial", False), ("refutes", False), ("qualifies", False), ("replicates", False), ("qualifies", True), ("unknown", False), ("unknown", False), ("unknown", False)]
+
+
+def test_inverted_index_round_trip(spark):
+    df = spark.createDataFrame([("a b a c",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(reviews.from_inverted_index(reviews.inverted_index(F.col("t")))).collect()] == ["a b a c", "", None]
+
+
+def test_loads_and_gaps_of_nothing(spark):
+    none = spark.createDataFrame([], "k long, v string")
+    some = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "d")], "k long, v string")
+    assert {tuple(r) for r in reviews.fresh_rows(some, some.where("k = 2"), ["k"], [F.asc("v")]).collect()} == {(1, "a"), (None, "d")}
+    assert reviews.fresh_rows(some, some, ["k"], [F.asc("v")]).count() == 0
+    assert reviews.fresh_rows(none, some, ["k"], [F.asc("v")]).count() == reviews.gaps(none, none, "k").count() == 0
+    assert {tuple(r) for r in reviews.gaps(some, some.where("v <> 'a'"), "k").collect()} == {(1, 2, 1, 1)}
