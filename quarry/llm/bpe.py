@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import codecs
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -54,38 +55,65 @@ def _merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 #: One space between characters that are not white space: the split pattern always starts a piece there.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces remembered by a worker, and the longest that is remembered.
-_MEMORY, _MEMORY_CHARS = 300_000, 48
+#: Stands between the parts of a text while it is split.
+_MARK = "\0"
+#: Pieces in each of the two generations that a worker remembers, about 200 bytes each, and the longest of them.
+_MEMORY, _MEMORY_CHARS = 180_000, 48
 
 
-class ByteBPE:
-    """Encoder and decoder for the tokens of a rank file (lines of base64 bytes and a rank)."""
+class ByteTable:
+    """Decoder for the tokens of a rank file (lines of base64 bytes and a rank)."""
+
+    def __init__(self, rank_file: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, rank_file.splitlines()))}
+        self.chars = byte_characters()
+        back = {c: b for b, c in enumerate(self.chars)}
+        self.table: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            self.table[r] = bytes(back[c] for c in self.name(t))
+        self.sizes = np.fromiter(map(len, self.table), np.int64, len(self.table))
+
+    def name(self, token: bytes) -> str:
+        return "".join([self.chars[b] for b in token])
+
+    def decode_bytes(self, ids) -> bytes:
+        return b"".join(map(self.table.__getitem__, ids))
+
+    def decode_stream(self, parts) -> list[str]:
+        """Text of consecutive id lists; a character split between lists comes with the list that ends it."""
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        out = [decoder.decode(self.decode_bytes(p)) for p in parts]
+        tail = decoder.decode(b"", final=True)
+        return out[:-1] + [out[-1] + tail] if out else out
+
+
+class ByteBPE(ByteTable):
+    """Encoder and decoder for the tokens of a rank file."""
 
     def __init__(self, rank_file: bytes):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, rank_file.splitlines()))}
-        chars = byte_characters()
-        name = {t: "".join(chars[b] for b in t) for t in ranks}
-        model = models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=[(name[a], name[b]) for a, b in _merges(ranks)], ignore_merges=True)
+        super().__init__(rank_file)
+        name = {t: self.name(t) for t in self.ranks}
+        model = models.BPE(vocab={name[t]: r for t, r in self.ranks.items()}, merges=[(name[a], name[b]) for a, b in _merges(self.ranks)], ignore_merges=True)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        back = {c: b for b, c in enumerate(chars)}
-        self.table: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for t, r in ranks.items():
-            self.table[r] = bytes(back[c] for c in name[t])
-        self.sizes = np.fromiter(map(len, self.table), np.int64, len(self.table))
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Equal parts of the texts are encoded once."""
-        parts = [[x if i == 0 else " " + x for i, x in enumerate(_BETWEEN.split(t))] for t in texts]
-        memory = self.memory
-        if len(memory) > _MEMORY:
-            memory.clear()
-        new = [x for x in set(chain.from_iterable(parts)) if x not in memory]
-        memory.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        out = [np.fromiter(chain.from_iterable(map(memory.__getitem__, p)), np.int32) for p in parts]
+        """Ids of each text. Equal parts of the texts are encoded once; their ids are remembered as packed 32-bit numbers."""
+        # A text that holds the mark itself is one part.
+        parts = [_BETWEEN.sub(_MARK + " ", t).split(_MARK) if _MARK not in t else [t] for t in texts]
+        if len(self.memory) > _MEMORY:
+            self.older, self.memory = self.memory, {}
+        memory, older = self.memory, self.older
+        absent = set(chain.from_iterable(parts)).difference(memory)
+        again = absent.intersection(older)
+        memory.update(zip(again, map(older.__getitem__, again)))
+        new = list(absent - again)
+        memory.update(zip(new, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        out = [np.frombuffer(b"".join(map(memory.__getitem__, p)), np.int32) for p in parts]
         for x in new:
             if len(x) > _MEMORY_CHARS:
                 del memory[x]
@@ -98,17 +126,6 @@ class ByteBPE:
         at = np.cumsum(self.sizes[ids]) - self.sizes[ids] if len(ids) else np.zeros(0, np.int64)
         return char[at]
 
-    def decode_bytes(self, ids) -> bytes:
-        table = self.table
-        return b"".join([table[i] for i in ids])
-
-    def decode_stream(self, parts) -> list[str]:
-        """Text of consecutive id lists; a character split between lists comes with the list that ends it."""
-        decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        out = [decoder.decode(self.decode_bytes(p)) for p in parts]
-        tail = decoder.decode(b"", final=True)
-        return out[:-1] + [out[-1] + tail] if out else out
-
 
 @lru_cache(maxsize=4)
 def _bpe(rank_file: bytes) -> ByteBPE:
@@ -118,6 +135,11 @@ def _bpe(rank_file: bytes) -> ByteBPE:
     return ByteBPE(rank_file)
 
 
+@lru_cache(maxsize=4)
+def _table(rank_file: bytes) -> ByteTable:
+    return ByteTable(rank_file)
+
+
 def encode(df: DataFrame, rank_file: bytes, text: str = "text", keep: list[str] | None = None, offsets: bool = False) -> DataFrame:
     """Token ids of each whole text: ``keep`` beside n_tokens, ids and, if asked for, starts (characters).
 
@@ -150,13 +172,13 @@ def decode(df: DataFrame, rank_file: bytes, ids: str = "ids", keep: list[str] |
     keep = keep or []
 
     def run(batch: pa.RecordBatch) -> dict:
-        bpe, col = _bpe(rank_file), batch.column(batch.schema.get_field_index(ids))
+        table, col = _table(rank_file), batch.column(batch.schema.get_field_index(ids))
         if isinstance(col, pa.ChunkedArray):
             col = col.combine_chunks()
         out = []
         for i in range(len(col)):
             x = col[i]
-            out.append(bpe.decode_bytes(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"")
+            out.append(table.decode_bytes(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"")
         return {"decoded": pa.array(out, pa.binary())}
 
     return frames.arrow_map(df.select(*dict.fromkeys([*keep, ids])), run, keep, "decoded binary")

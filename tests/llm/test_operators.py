@@ -49,6 +49,9 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, docs, hard):
         back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(ids, raw, keep=["doc_id"]).collect()}
         assert all(back[i] == t.encode() for i, t in want.items())
     b = bpe.ByteBPE(raw)
+    odd = ["a\0 b c", "\0", " ", "  x  y\tz \n w", "a\x1c b\u00a0 c\u0085 d", "it's 12 3 's", ""]
+    for t in [*odd, *odd]:
+        assert b.encode([t])[0].tolist() == enc.encode_ordinary(t)
     ids = b.encode(["日本語"])[0]
     assert "".join(b.decode_stream([[i] for i in ids])) == "日本語"
 
