@@ -30,9 +30,9 @@ N, PERCENT = 5, 80
 #: An n-gram in so many sets of one group of texts is counted there and not sent to its fragment set by set.
 COMMON = 64
 #: Bytes of text whose n-grams are packed together; classes in a block of comparisons; words of a parity bitmap.
-GROUP_BYTES, BLOCK, BITS = 8 << 20, 128, 64
+GROUP_BYTES, BLOCK, BITS = 4 << 20, 128, 64
 #: Fragments for each shuffle partition, and n-grams of a task's fragments that are regrouped by set before they leave it.
-FRAGMENTS, EMIT = 4, 1 << 20
+FRAGMENTS, EMIT = 2, 1 << 20
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -91,13 +91,14 @@ def _pack(df: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
     def packed(groups: dict[int, np.ndarray]):
         keys = np.fromiter(groups, np.int64, len(groups))
         sizes = np.fromiter(map(len, groups.values()), np.int64, len(groups))
-        grams, owner = np.concatenate([*groups.values(), _EMPTY]), np.repeat(np.arange(len(groups)), sizes)
+        grams, owner = np.concatenate([*groups.values(), _EMPTY]), np.repeat(np.arange(len(groups), dtype=np.int32), sizes)
         order = np.argsort(grams, kind="stable")
         h, o = grams[order], owner[order]
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, int)
         count = np.diff(np.append(start, len(h)))
         often = np.repeat(count >= COMMON, count)
-        part = ((h >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)).astype(np.int64)
+        part = ((h >> np.uint64(48)) * np.uint64(fragments) >> np.uint64(16)).astype(np.int32)
+        del grams, owner
         rows = []
 
         def rows_of(which: np.ndarray, common: bool) -> None:
@@ -141,26 +142,44 @@ def _pack(df: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
 
 
 def shared_grams(df: DataFrame, text: str = "text", n: int = N) -> DataFrame:
-    """(class, grams, weights): of each set with any, the n-grams that other sets hold as well, rarest first.
+    """(class, items): of each set with any, the n-grams that other sets hold as well.
 
-    ``grams`` are in the global order; ``weights`` has in how many sets each
-    occurs, as far as COMMON.
+    ``items`` packs the n-grams, 8 bytes each, and behind them in how many sets
+    each occurs, as far as COMMON, 1 byte each. An n-gram may stand there twice.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fragments = min(FRAGMENTS * parts, 1 << 15)
-    schema = T._parse_datatype_string("class long, items binary")
-    arrow = to_arrow_schema(schema)
+    piece = T._parse_datatype_string("bucket int, keys binary, sizes binary, grams binary, weights binary")
+    whole = T._parse_datatype_string("class long, items binary")
+    piece_arrow, whole_arrow = to_arrow_schema(piece), to_arrow_schema(whole)
 
     def emit(made):
+        """What a task found, one row for each bucket of classes."""
         own, gram, weight = (np.concatenate(x) for x in zip(*made))
-        order = np.lexsort((gram, own))
-        own, gram, weight = own[order], gram[order], weight[order].astype(np.uint8)
-        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, int)
-        end = np.append(cut[1:], len(own))
-        for i in range(0, len(cut), 4096):
-            a, e = cut[i : i + 4096], end[i : i + 4096]
-            items = [gram[x:y].tobytes() + weight[x:y].tobytes() for x, y in zip(a, e)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(items, pa.binary())], schema=arrow)
+        bucket = (own.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((own, bucket))
+        own, gram, weight, bucket = own[order], gram[order], weight[order].astype(np.uint8), bucket[order]
+        start = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = []
+        for a, e in zip(start, np.append(start[1:], len(own))):
+            k, c = np.unique(own[a:e], return_counts=True)
+            rows.append((int(bucket[a]), k.tobytes(), c.astype(np.int32).tobytes(), gram[a:e].tobytes(), weight[a:e].tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), piece_arrow)], schema=piece_arrow)
+
+    def gather(batches):
+        """Of each bucket's rows, one row for each class."""
+        for _, rows in frames.runs_of(batches):
+            keys, sizes, grams, weights = ([np.frombuffer(x, t) for x in col] for col, t in zip(zip(*rows), (np.int64, np.int32, np.uint64, np.uint8)))
+            own, gram, weight = np.concatenate([np.repeat(k, c) for k, c in zip(keys, sizes)]), np.concatenate(grams), np.concatenate(weights)
+            order = np.argsort(own, kind="stable")
+            own, gram, weight = own[order], gram[order], weight[order]
+            cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            end = np.append(cut[1:], len(own))
+            for i in range(0, len(cut), 1024):
+                a, e = cut[i : i + 1024], end[i : i + 1024]
+                items = [gram[x:y].tobytes() + weight[x:y].tobytes() for x, y in zip(a, e)]
+                yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(items, pa.binary())], schema=whole_arrow)
 
     def shared(f, rows):
         """(class, n-gram, sets) of one fragment's n-grams in two sets or more."""
@@ -204,8 +223,8 @@ def shared_grams(df: DataFrame, text: str = "text", n: int = N) -> DataFrame:
             yield from emit(made)
 
     packed = _pack(df, text, n, fragments).repartition(parts, "fragment").sortWithinPartitions("fragment")
-    pieces = packed.mapInArrow(run, schema)
-    return pieces.groupBy("class").agg(F.collect_list("items").alias("items"))
+    pieces = packed.mapInArrow(run, piece).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return pieces.mapInArrow(gather, whole)
 
 
 def _profiles(gathered: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -216,9 +235,8 @@ def _profiles(gathered: DataFrame, sizes: DataFrame) -> DataFrame:
         names = batch.schema.names
         n_all = batch.column(names.index("n_shingles")).to_pylist()
         made = {k: [] for k in ("n", "ordinary", "grams", "prefix", "bitmap")}
-        for parts, n in zip(batch.column(names.index("items")).to_pylist(), n_all):
-            gram = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 9) for p in parts])
-            weight = np.concatenate([np.frombuffer(p, np.uint8, len(p) // 9, len(p) // 9 * 8) for p in parts])
+        for items, n in zip(batch.column(names.index("items")).to_pylist(), n_all):
+            gram, weight = np.frombuffer(items, np.uint64, len(items) // 9), np.frombuffer(items, np.uint8, offset=len(items) // 9 * 8)
             gram, at = np.unique(gram, return_index=True)
             weight = weight[at]
             order = np.lexsort((gram, weight))
@@ -258,17 +276,22 @@ def _rest(posts: DataFrame) -> DataFrame:
     """Pairs of one prefix n-gram's classes in different components that sizes and bitmaps leave possible.
 
     ``posts``: (gram, class, n, comp, shared, bitmap) of n-grams with two components or
-    more. A long list is cut into blocks, and each two blocks meet in a row.
+    more. A long list is cut into blocks, and each two blocks meet in a row. A
+    component with a block's worth of a list or more has blocks of its own,
+    which do not meet each other; the other components share blocks.
     """
-    counts = posts.groupBy("gram").agg(F.count("*").alias("len"))
-    blocks = F.ceil(F.col("len") / BLOCK).cast("int")
+    big, key = F.col("cnt") >= BLOCK, ["gram", "big", "team"]
+    each = posts.join(posts.groupBy("gram", "comp").agg(F.count("*").alias("cnt")), ["gram", "comp"])
+    each = each.withColumn("big", big).withColumn("team", F.when(big, F.col("comp")).otherwise(F.lit(0)))
+    counts = each.groupBy(*key).agg(F.count("*").alias("len"))
     chunk = (
-        posts.join(counts, "gram").withColumn("k", blocks)
-        .groupBy("gram", "k", F.pmod(F.xxhash64("class"), F.col("k")).cast("int").alias("c"))
+        each.join(counts, key).groupBy(*key, F.pmod(F.xxhash64("class"), F.ceil(F.col("len") / BLOCK)).cast("int").alias("c"))
         .agg(F.collect_list(F.struct("class", "n", "comp", "shared", "bitmap")).alias("m"))
     )
-    left = chunk.withColumn("d", F.explode(F.sequence(F.col("c"), F.col("k") - 1)))
-    met = left.join(chunk.select("gram", F.col("c").alias("d"), F.col("m").alias("m2")), ["gram", "d"]).select("m", "m2")
+    chunk = frames.written(chunk.select("gram", "big", "team", F.monotonically_increasing_id().alias("at"), "m"), "blocks")
+    one, two = chunk.select("gram", "at", "big", "team"), chunk.select("gram", F.col("at").alias("at2"), F.col("big").alias("big2"), F.col("team").alias("team2"))
+    met = one.join(two, "gram").where("at <= at2 and not (big and big2 and team = team2)").select("at", "at2")
+    met = met.join(chunk.select("at", "m"), "at").join(chunk.select(F.col("at").alias("at2"), F.col("m").alias("m2")), "at2").select("m", "m2")
     schema = T._parse_datatype_string("x long, y long")
     arrow = to_arrow_schema(schema)
 
