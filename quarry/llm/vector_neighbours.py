@@ -6,8 +6,11 @@ with its vector, to the classes on whose list it stands and to those on its
 own, and all that meet there are compared. Pairs at the threshold leave the
 join as links. Where lists are saturated (every entry at the threshold), they
 are enlarged to the whole component that the links reach, block by block.
-The share of links found is audited against a fixed number of exact queries
-and further rounds follow while it is too low.
+Every label is audited: classes are drawn until enough of them have a true
+link, and the share of links found is taken for each of these and averaged, so
+a large group weighs no more than its queries. Further rounds follow for labels
+where it is too low. Small labels, those where links are too rare for an audit
+and those that the rounds leave too low are compared exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -24,8 +27,11 @@ from . import frames
 THRESHOLD = 0.93
 #: Neighbours on a list; classes compared in one block; sign codes of a round; descents of a round; rounds at most.
 NEIGHBOURS, BLOCK, TREES, DESCENTS, ROUNDS = 6, 256, 3, 2, 4
-#: Exact queries of the audit, and the recall below which another round follows.
-AUDIT_QUERIES, AUDIT_RECALL = 128, 0.98
+#: Classes with a true link that an audit needs of each label, and the mean recall of theirs below which another round follows.
+AUDIT_LINKED, AUDIT_RECALL = 64, 0.98
+#: Classes of a label that are compared exactly at once; the share of a label's classes that an audit asks at most; queries broadcast at once.
+SMALL, AUDIT_SHARE, AUDIT_BATCH = 2 * BLOCK, 1 / 8, 4096
+_SPREAD = 1 << 40
 
 
 def _schema(ddl: str):
@@ -171,34 +177,94 @@ def _within(members: DataFrame, threshold: float) -> DataFrame:
     return met.mapInArrow(run, schema)
 
 
-def audit(classes: DataFrame, linked: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
-    """The share of the exact links of ``queries`` classes, those whose ids hash lowest, that join one of ``linked``'s components.
-
-    Queries are compared with all rows; their number is fixed, so their
-    vectors may be broadcast.
-    """
-    asked = classes.join(linked.select("id", "component"), "id", "left").orderBy(F.xxhash64("id"), "id").limit(queries).collect()
-    if not asked:
-        return 1.0
-    ids, labels = np.array([r.id for r in asked]), [r.label for r in asked]
-    comps = [r.component for r in asked]
-    q = _matrix([r.unit for r in asked])
-    schema, arrow = _schema("found long, truth long")
+def _drawn(classes: DataFrame, ranges: dict, ids: set | None = None) -> list:
+    """Classes whose id hash lies in their label's range, with their components; with ``ids``, of these only."""
+    names = classes.schema.names
 
     def run(batches):
         for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            v = _matrix(col["unit"].to_pylist())
-            s = v @ q.T >= threshold
-            s &= np.array(col["label"].to_pylist(), object)[:, None] == np.array(labels, object)[None, :]
-            s &= col["id"].to_numpy()[:, None] != ids[None, :]
-            mine = np.array([x if x is not None else -1 for x in col["component"].to_pylist()])
-            theirs = np.array([x if x is not None else -2 for x in comps])
-            found = s & (mine[:, None] == theirs[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array([int(found.sum())]), pa.array([int(s.sum())])], schema=arrow)
+            col = [batch.column(names.index(n)).to_pylist() for n in ("label", "draw", "id")]
+            keep = [x in ranges and ranges[x][0] <= d < ranges[x][1] and (ids is None or i in ids) for x, d, i in zip(*col)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return classes.mapInArrow(run, classes.schema).collect()
 
-    r = classes.join(linked.select("id", "component"), "id", "left").mapInArrow(run, schema).agg(F.sum("found"), F.sum("truth")).first()
-    return 1.0 if not r[1] else r[0] / r[1]
+
+def _asked(classes: DataFrame, queries: list, threshold: float) -> dict:
+    """Of each query with a true link: its label, its links, and those of them in its own component."""
+    by_label: dict = {}
+    for r in queries:
+        by_label.setdefault(r.label, []).append((r.id, -2 if r.component is None else r.component, bool(r.component is None), r.unit))
+    packed = {x: (np.array([q[0] for q in y]), np.array([q[1] for q in y]), np.array([q[2] for q in y]), b"".join(q[3] for q in y)) for x, y in by_label.items()}
+    shared = classes.sparkSession.sparkContext.broadcast(packed)
+    names = classes.schema.names
+    schema, arrow = _schema("id long, truth long, found long")
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            col = {n: batch.column(names.index(n)) for n in ("label", "id", "component", "unit")}
+            labels = np.array(col["label"].to_pylist(), object)
+            for x in set(labels.tolist()) & shared.value.keys():
+                ids, comps, alone, q = shared.value[x]
+                at = np.flatnonzero(labels == x)
+                part = {n: col[n].take(pa.array(at)) for n in ("id", "component", "unit")}
+                s = _matrix(part["unit"].to_pylist()) @ np.frombuffer(q, np.float64).reshape(len(ids), -1).T >= threshold
+                s &= part["id"].to_numpy()[:, None] != ids[None, :]
+                none = part["component"].is_null().to_numpy(zero_copy_only=False)
+                same = (part["component"].fill_null(0).to_numpy()[:, None] == comps[None, :]) & ~none[:, None] & ~alone[None, :]
+                n = np.stack([s.sum(0), (s & same).sum(0)])
+                held[x] = held[x] + n if x in held else n
+        for x, n in held.items():
+            keep = n[0] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[x][0][keep], pa.int64()), pa.array(n[0][keep], pa.int64()), pa.array(n[1][keep], pa.int64())], schema=arrow)
+
+    sums = classes.mapInArrow(run, schema).groupBy("id").agg(F.sum("truth").alias("truth"), F.sum("found").alias("found")).collect()
+    shared.destroy()
+    label = {r.id: r.label for r in queries}
+    return {r.id: (label[r.id], r.truth, r.found) for r in sums}
+
+
+def audit(classes: DataFrame, linked: DataFrame, threshold: float, per_label: dict, known: dict) -> dict:
+    """By label, the mean over classes with a true link of the share of their exact links that join one of ``linked``'s components.
+
+    Classes are drawn by their ids' hashes, more and more of them until
+    AUDIT_LINKED of a label have a link; None for labels where AUDIT_SHARE of
+    all classes do not suffice. ``known`` keeps the linked classes of each
+    label, which later audits ask again.
+    """
+    placed = classes.join(linked.select("id", "component"), "id", "left").withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(_SPREAD)))
+    recall: dict = {}
+    done: dict = {x: [] for x in per_label}
+    again = {x for x in per_label if x in known}
+    old = sorted((i, x) for x in again for i in known[x])
+    for at in range(0, len(old), AUDIT_BATCH):
+        part = old[at : at + AUDIT_BATCH]
+        for x, truth, found in _asked(placed, _drawn(placed, {x: (0, _SPREAD) for _, x in part}, {i for i, _ in part}), threshold).values():
+            done[x].append(found / truth)
+    waiting = {x: (0.0, min(AUDIT_SHARE, AUDIT_LINKED / n)) for x, n in per_label.items() if x not in again}
+    while waiting:
+        ranges, size = {}, 0.0
+        for x, (lo, hi) in waiting.items():
+            hi = min(hi, lo + AUDIT_BATCH / per_label[x])
+            if ranges and size + (hi - lo) * per_label[x] > AUDIT_BATCH:
+                break
+            ranges[x] = (int(lo * _SPREAD), int(hi * _SPREAD))
+            size += (hi - lo) * per_label[x]
+            waiting[x] = (lo, hi)
+        for i, (x, truth, found) in _asked(placed, _drawn(placed, ranges), threshold).items():
+            done[x].append(found / truth)
+            known.setdefault(x, []).append(i)
+        for x in ranges:
+            hi = waiting[x][1]
+            if len(done[x]) >= AUDIT_LINKED:
+                del waiting[x]
+            elif hi >= AUDIT_SHARE:
+                del waiting[x]
+                recall[x] = None
+            else:
+                waiting[x] = (hi, min(AUDIT_SHARE, 3 * hi))
+    return {x: recall[x] if x in recall else float(np.mean(done[x])) for x in per_label}
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -217,29 +283,35 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     classes = frames.written(
         whole.groupBy("label", "unit").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
         .select(F.xxhash64("label", "unit").alias("id"), F.struct(F.col("label").cast("string").alias("l"), F.length("unit").alias("n")).cast("string").alias("label"), "unit", "least", "copies"), "classes")
-    lengths = [r[0] for r in classes.select(F.length("unit")).distinct().limit(1000).collect()]
-    per_label = {r.label: r["n"] for r in classes.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    edges = None
+    counted = classes.groupBy("label", F.length("unit").alias("size")).agg(F.count("*").alias("n")).collect()
+    # Labels still searched by descents, and those to be compared exactly.
+    searched = {r.label: r["n"] for r in counted if r["n"] > SMALL}
+    size_of = {r.label: r["size"] for r in counted}
+    exactly = {r.label for r in counted if 1 < r["n"] <= SMALL}
+    edges, known = spark.createDataFrame([], "a long, b long"), {}
+    comps = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for seed in range(ROUNDS):
-        found = []
-        for size in lengths:
-            own = classes.where(F.length("unit") == size) if len(lengths) > 1 else classes
-            lists = frames.written(_first_lists(own, per_label, seed, size // 8, k, threshold), "lists")
-            found.append(lists)
+        if not searched:
+            break
+        for size in sorted({size_of[x] for x in searched}):
+            own = classes.where((F.length("unit") == size) & F.col("label").isin(list(searched)))
+            lists = frames.written(_first_lists(own, searched, seed, size // 8, k, threshold), "lists")
+            found = [lists]
             merged = frames.written(_merge(lists, k), "merged")
             for _ in range(DESCENTS):
                 lists = frames.written(_descend(merged, own, k, threshold), "lists")
                 found.append(lists)
                 merged = frames.written(_merge(merged.union(lists), k), "merged")
-        for lists in found:
-            new = lists.where("sims is null").select(F.col("id").alias("a"), F.col("nbrs")[0].alias("b"))
-            edges = new if edges is None else edges.union(new)
-        if edges is None:
-            edges = spark.createDataFrame([], "a long, b long")
+            for lists in found:
+                edges = edges.union(lists.where("sims is null").select(F.col("id").alias("a"), F.col("nbrs")[0].alias("b")))
         comps = frames.components(edges)
-        if audit(classes, comps, threshold) >= AUDIT_RECALL:
-            break
-    members = comps.join(classes.select("id", "copies", "unit"), "id")
+        recall = audit(classes.where(F.col("label").isin(list(searched))), comps, threshold, searched, known)
+        exactly |= {x for x, r in recall.items() if r is None}
+        searched = {x: n for x, n in searched.items() if recall[x] is not None and recall[x] < AUDIT_RECALL}
+    exactly |= set(searched)
+    whole_label = F.col("label").isin(sorted(exactly))
+    members = comps.join(classes.where(~whole_label), "id").select("component", "id", "copies", "unit")
+    members = members.union(classes.where(whole_label).select(F.xxhash64("label"), "id", "copies", "unit"))
     exact = frames.written(_within(members, threshold), "links")
     final = frames.components(exact.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = exact.groupBy("id").agg(F.sum("n").alias("n"))

@@ -245,6 +245,23 @@ def test_vectors(spark):
     assert got[904].component_id == 0 and not got[904].kept
 
 
+def test_vectors_rare_links_under_a_weak_search(spark, monkeypatch):
+    """What a search loses in a label with links too few for an audit is found all the same."""
+    monkeypatch.setattr(vector_neighbours, "BLOCK", 32)
+    monkeypatch.setattr(vector_neighbours, "TREES", 1)
+    monkeypatch.setattr(vector_neighbours, "DESCENTS", 0)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 32))
+    v[750:758] = v[:8] + rng.normal(size=(8, 32)) * 0.3
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    truth = u @ u.T >= 0.93
+    np.fill_diagonal(truth, False)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_neighbours.near_duplicates(df).collect()}
+    assert truth.sum() >= 10
+    assert [got[i] for i in range(len(v))] == truth.sum(1).tolist()
+
+
 def test_token_counts_equal_the_library(spark, docs):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
