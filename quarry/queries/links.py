@@ -151,6 +151,41 @@ def components(t):
     return graph.components(t.customer.where("c_custkey % 5 < 2").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 7).alias("dst")))
 
 
+def _materialized(sql: str) -> str:
+    """Long chains of steps, each read twice, are run once a step."""
+    return sql.replace(" AS (", " AS MATERIALIZED (")
+
+
+@query(_materialized(_ranks("1.0 / (SELECT count(*) FROM v)", 10)))
+def pagerank_10(t):
+    return graph.pagerank(t.graph(), 10).select("node", F.round("rank", 6).alias("rank"))
+
+
+@query(_materialized(_ranks("CASE WHEN node IN (1, 2) THEN 0.5 ELSE 0.0 END", 10)))
+def ppr_10(t):
+    return graph.pagerank(t.graph(), 10, seeds=[1, 2]).select("node", F.round("rank", 6).alias("rank"))
+
+
+def _hubs(iterations: int) -> str:
+    steps = [f"WITH {GRAPH}, h0 AS (SELECT src AS node, 1.0 AS hub FROM graph UNION SELECT dst, 1.0 FROM graph)"]
+    for i in range(1, iterations + 1):
+        steps.append(f"a{i} AS (SELECT dst AS node, sum(hub) AS x FROM graph JOIN h{i - 1} ON src = node GROUP BY dst), b{i} AS (SELECT node, x / (SELECT max(x) FROM a{i}) AS a FROM a{i})")
+        steps.append(f"g{i} AS (SELECT src AS node, sum(a) AS x FROM graph JOIN b{i} ON dst = node GROUP BY src), h{i} AS (SELECT node, x / (SELECT max(x) FROM g{i}) AS hub FROM g{i})")
+    return _materialized(", ".join(steps)) + f" SELECT h0.node, round(coalesce(h{iterations}.hub, 0), 6) AS hub, round(coalesce(b{iterations}.a, 0), 6) AS authority FROM h0 LEFT JOIN h{iterations} USING (node) LEFT JOIN b{iterations} USING (node)"
+
+
+@query(_hubs(10))
+def hits_10(t):
+    r = graph.hits(t.graph(), 10)
+    return r.select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
+
+
+@query(f"WITH RECURSIVE {GRAPH}, ways AS (SELECT src AS a, dst AS b FROM graph UNION SELECT dst, src FROM graph), cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM ways UNION (SELECT b, min(c.component) FROM cc c JOIN ways ON c.node = a JOIN recurring.cc r ON r.node = b WHERE c.component < r.component GROUP BY b)) SELECT node, component FROM cc")
+def graph_components(t):
+    """Weakly connected components of the whole graph."""
+    return graph.components(t.graph())
+
+
 @query(f"WITH {GRAPH} SELECT a.p_brand AS src_brand, b.p_brand AS dst_brand, count(*) AS n FROM graph JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey GROUP BY ALL")
 def community_heatmap(t):
     p = t.part.select("p_partkey", "p_brand")

@@ -29,3 +29,22 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     found = con.execute(ORACLE_SQL[name])
     assert plain(rows, df.columns) == plain(found.fetchall(), [c[0] for c in found.description])
+
+
+def test_graph_queries_run_over_the_whole_graph(spark):
+    from collections import Counter
+
+    from quarry.queries.base import Tables
+
+    edges = [tuple(r) for r in Tables(spark, DIR).graph().collect()]
+    least = {n: n for e in edges for n in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            m = min(least[a], least[b])
+            moved |= m != least[a] or m != least[b]
+            least[a] = least[b] = m
+    got = {r.node: r.component for r in QUERIES["graph_components"](spark, DIR).collect()}
+    assert got == least and max(Counter(got.values()).values()) > 2
+    assert {"pagerank_10", "ppr_10", "hits_10"} <= set(QUERIES)
