@@ -33,15 +33,21 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One row of each group of near copies: the one with the smallest id, then the smallest class of equal n-gram sets.
 
-    Texts without words are copies of nothing and stay. Rows that repeat an id
-    are one document; rows without an id are one for each text.
+    Whether a row stays goes by its id and its text, so two texts under one id
+    are two documents. Rows alike in id and n-gram set are one; a row without an
+    id comes after those with one. Texts without words are copies of nothing
+    and stay, once for each id and text.
     """
-    docs = docs.select(*COLUMNS)
-    losers = jaccard_join.membership(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").withColumn("__text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return kept.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
+    classed = jaccard_join.signatures(docs.select(*COLUMNS), keep=COLUMNS)
+    sig = frames.written(classed.select("doc_id", "n_shingles", "class"), "signatures")
+    comps = jaccard_join.links(docs, sig=sig)[1]
+    keys = [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.coalesce("class", F.xxhash64("text")).alias("__class")]
+    names = ["__none", "__id", "__class"]
+    stays = jaccard_join.winners(sig, comps, "doc_id").select(*keys[:2], F.col("class").alias("__class"), F.lit(True).alias("__stays"))
+    placed = classed.select(*COLUMNS, F.col("class").isNull().alias("__bare"), *keys).join(stays, names, "left")
+    return placed.where("__bare or __stays").dropDuplicates(names).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
