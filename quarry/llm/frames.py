@@ -13,21 +13,46 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bytes of an Arrow batch on its way to or from a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as
-    on one machine in tests, a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder is made and set if the session runs in one process; on a
+    cluster, whose machines would not see such a folder, this raises.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, so that a batch of long texts or packed rows stays small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") != str(BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; idle workers would keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
 
@@ -52,6 +77,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], keep: list[st
         raise ValueError(f"columns {sorted(clash)} are both kept and made")
     schema = T.StructType([df.schema[c] for c in keep] + list(made.fields))
     arrow = to_arrow_schema(schema)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,6 +90,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], keep: list[st
                 a = a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, f.type)
                 arrays.append(a if a.type == f.type else a.cast(f.type))
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -72,13 +99,27 @@ def hash_part(value: F.Column, n: int) -> F.Column:
     return F.pmod(F.xxhash64(value), F.lit(n)).cast("int")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Into how many parts the edges of one node are dealt.
+_SALTS = 64
+
+
+def _to_least(e: DataFrame) -> DataFrame:
+    """(a, b, m) of edges (a, b): m is the least of a and a's neighbours. A node's edges are joined in _SALTS parts."""
+    dealt = e.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int"))
+    part = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    least = least.select("a", F.least("a", "m").alias("m"), F.explode("salts").alias("salt"))
+    return dealt.join(least, ["a", "salt"]).select("a", "b", "m")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as (id, component), component the smallest id.
 
     Alternates the large-star and small-star steps, each a min per node and
-    one equi-join, until the edges no longer change; every round is
-    checkpointed to the shared folder. Ids that occur in no edge are absent.
-    Self edges and repeated edges are allowed; rows with a null are left out.
+    one equi-join, until the edges no longer change, however many rounds that
+    takes; every round is checkpointed to the shared folder. Ids that occur in
+    no edge are absent. Self edges and repeated edges are allowed; rows with a
+    null are left out. Without edges the result is empty.
     """
     spark = edges.sparkSession
     work_dir(spark)
@@ -90,18 +131,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     nodes = e.select(F.col("a").alias("id")).union(e.select("b"))
     e, before = e.where("a > b"), None
-    for _ in range(rounds):
+    while True:
         now = state(e)
         if now == before or now[0] == 0:
             break
         before = now
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = small.where("a > b").distinct().checkpoint()
+        large = _to_least(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        star = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        e = _to_least(large).select(F.explode(star).alias("x")).select("x.*").where("a > b").distinct().checkpoint()
     label = e.select(F.col("a").alias("id"), F.col("b").alias("m")).groupBy("id").agg(F.min("m").alias("m"))
     return nodes.distinct().join(label, "id", "left").select("id", F.coalesce("m", "id").alias("component"))
 

@@ -63,7 +63,7 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.membership(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.membership(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, jaccard_join, kneser_ney, licenses, mil_classifier, packing, quality_rules, queries, secrets, token_counts, vector_neighbours
+from quarry.llm import bpe, frames, jaccard_join, kneser_ney, licenses, mil_classifier, packing, quality_rules, queries, secrets, token_counts, vector_neighbours
 
 DIR = "/root/testdata/sf0.001"
 P = pytest.importorskip("public_tokenizers")
@@ -208,9 +208,70 @@ def test_jaccard_join_equals_brute_force(spark, docs, hard):
     got = jaccard_join.membership(mixed).collect()
     assert len(got) == len(sets)
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.component_id == want[r.doc_id] for r in got)
+    assert [r.n_links for r in got] == [plain_links(sets)[r.doc_id] for r in got]
     assert jaccard_join.membership(mixed.limit(0)).count() == 0
 
 
+def plain_links(sets):
+    inverted, n = defaultdict(list), Counter()
+    for i in sets:
+        for h in sets[i]:
+            inverted[h].append(i)
+    for i in sets:
+        shared = Counter(j for h in sets[i] for j in inverted[h] if j != i)
+        n[i] = sum(100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k) for j, k in shared.items())
+    return n
+
+
+def test_jaccard_join_in_small_blocks(spark, monkeypatch):
+    """Ranges, groups and blocks of a few n-grams and classes give the same links, common n-grams among them."""
+    for name, value in (("GROUP_BYTES", 4000), ("BLOCK", 4), ("WITHIN", 16), ("EMIT", 100), ("RANGE_GRAMS", 20)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(4)
+    texts = []
+    for size in (8, 30, 60):
+        base = [f"w{size}x{i}" for i in range(size)]
+        texts += [" ".join(w if rng.random() > 0.02 else f"e{rng.randrange(9)}" for w in base) for _ in range(80 if size == 30 else 20)]
+    texts += [" ".join(rng.choices("abc", k=12)) for _ in range(40)] + texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    comps, n = plain_components(sets), plain_links(sets)
+    got = jaccard_join.membership(df).collect()
+    assert [(r.component_id, r.n_links) for r in got] == [(comps[r.doc_id], n[r.doc_id]) for r in got]
+
+
+def test_ranges_let_common_ngrams_go(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON", 4)
+    monkeypatch.setattr(jaccard_join, "HELD_GRAMS", 30)
+    rng = np.random.default_rng(1)
+    for bits in (1, 9):
+        grams = rng.integers(0, 1 << 63, 20, dtype=np.uint64) >> np.uint64(bits)
+        if bits == 1:
+            grams &= np.uint64((1 << 56) - 1)
+        held, found, sets = jaccard_join._Range(0, bits), set(), defaultdict(set)
+        held.add(jaccard_join._HOT, b"", b"", jaccard_join._low(np.sort(grams[:1])))
+        for key in range(12):
+            own = np.sort(rng.choice(grams, rng.integers(1, 12), replace=False))
+            if key == 5:
+                own = np.sort(grams[:3])
+            for g in own.tolist():
+                sets[g].add(key)
+            made = [held.add(jaccard_join._PLAIN, np.array([key]).tobytes(), np.array([len(own)], np.uint16).tobytes(), jaccard_join._low(own))]
+            if held.size > held.limit:
+                made.append(held.settle(False))
+            found |= {x for m in made if m is not None for x in zip(*(c.tolist() for c in m))}
+        found |= set(zip(*(c.tolist() for c in held.settle(True))))
+        hot = int(grams[0])
+        want = {(k, g, 4 if g == hot else min(4, len(o))) for g, o in sets.items() if len(o) > 1 or g == hot for k in o}
+        assert found == want
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    e = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)] + [(7, 7), (None, 3)], "a long, b long")
+    got = dict(tuple(r) for r in frames.components(e).collect())
+    assert got == {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5201)}
+
+
 def test_packing(spark, docs, hard):
     for df in (docs, hard):
         rows = packing.best_fit(df, capacity=512).collect()

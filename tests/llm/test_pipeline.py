@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from test_operators import plain_components, plain_secrets, shingles
 
@@ -19,3 +21,13 @@ def test_stages(spark):
     clean = by["secret_scan"].collect()
     assert {r.doc_id for r in clean} == after and not any(plain_secrets(r.text) for r in clean)
     assert {r.doc_id for r in by["best_fit_packing"].collect()} == after
+
+
+def test_near_duplicates_go_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, "c d"), (None, "c d"), (4, None), (5, ""), (5, ""), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    got = Counter((r.doc_id, r.text) for r in stage(spark, docs, DIR).collect())
+    assert got == Counter([(1, a), (2, b), (None, "c d"), (4, None), (5, ""), (6, " ")])
+    assert stage(spark, docs.limit(0), DIR).count() == 0
