@@ -18,6 +18,8 @@ from . import frames, textkit
 from .quality_rules import labelled
 
 PASSAGE_WORDS, HASHED, SURFACE, HIDDEN, ATTENTION = 64, 256, 13, 32, 16
+#: Bytes of a word, mean and deviation, that a feature tells apart at most.
+LONGEST = 100
 #: The most labelled documents that a fit reads, and passes over them.
 FIT_ROWS, EPOCHS = 1500, 15
 _SIZE = 2 * HASHED + SURFACE
@@ -54,8 +56,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x[:, 2 * HASHED : 2 * HASHED + 8] = kinds
         size = w.end - w.start
         mean = np.bincount(own, size, total) / n_words
-        x[:, 2 * HASHED + 8] = mean / 10
-        x[:, 2 * HASHED + 9] = np.sqrt(np.maximum(np.bincount(own, size * size.astype(float), total) / n_words - mean**2, 0)) / 10
+        # Lengths are held to LONGEST, so that one endless word outweighs nothing.
+        x[:, 2 * HASHED + 8] = np.minimum(mean, LONGEST) / 10
+        x[:, 2 * HASHED + 9] = np.minimum(np.sqrt(np.maximum(np.bincount(own, size * size.astype(float), total) / n_words - mean**2, 0)), LONGEST) / 10
         order = np.lexsort((w.hash, own))
         o, h = own[order], w.hash[order]
         again = np.concatenate(([False], (o[1:] == o[:-1]) & (h[1:] == h[:-1])))
@@ -137,12 +140,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, epochs: i
         out = []
         for _, texts in textkit.text_slices(batch):
             x, doc = passages(texts)
-            out += [x[doc == i].astype(np.float16).tobytes() for i in range(len(texts))]
+            out += [x[doc == i].astype(np.float32).tobytes() for i in range(len(texts))]
         return {"features": pa.array(out, pa.binary())}
 
     got = frames.arrow_map(labelled(documents, labels, rows, label), run, ["doc_id", "label"], "features binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.features))
-    bags = [np.frombuffer(r.features, np.float16).reshape(-1, _SIZE).astype(np.float32) for r in got]
+    bags = [np.frombuffer(r.features, np.float32).reshape(-1, _SIZE) for r in got]
     return learn(bags, np.array([r.label for r in got], float), epochs)
 
 
@@ -174,7 +177,12 @@ def learn(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> MilMod
 
 
 def score(df: DataFrame, model: MilModel, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
-    """``keep`` of each row beside its score, 0 to 1. Null texts score as empty ones; nothing is read but the text; equal texts score alike up to rounding."""
+    """``keep`` of each row beside its score, 0 to 1, rows one for one; an empty table gives an empty result.
+
+    Null texts score as empty ones; nothing is read but the text; equal texts
+    score alike up to rounding, so ties stay ties. A ``keep`` column of the
+    name made raises.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)  # some 20,000 numbers
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -1,6 +1,6 @@
 """Quality rules: base counts and a calibrated hashed n-gram logistic regression.
 
-Word unigrams and bigrams and byte 4-grams of each whole text are hashed into
+Word unigrams and bigrams and 4-grams of characters of each whole text are hashed into
 buckets; a text's features are the shares of its n-grams in each bucket, by
 kind. The regression is fitted on a bounded sample of labelled rows, its margin
 turned into a probability by a logistic curve fitted on rows held back, and
@@ -52,19 +52,23 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(text, bucket) of every n-gram, by kind: words, word pairs, 4 bytes."""
+    """(text, bucket) of every n-gram, by kind: words, word pairs, 4 characters (code points)."""
     w = textkit.words(texts)
     shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
     one = (w.hash >> shift).astype(np.int32)
     pair = textkit.windows(w.hash, 2)
     within = w.doc[1:] == w.doc[:-1]
     two = (pair[within] >> shift).astype(np.int32)
-    d = w.data.astype(np.uint32)
-    four = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24) if len(d) > 3 else d[:0]
-    four = ((four * np.uint32(2654435761)) >> np.uint32(32 - (BUCKETS.bit_length() - 1))).astype(np.int32)
-    # 4 bytes that reach into the next text's first bytes are left out.
-    last = np.searchsorted(w.doc_start, np.arange(len(four)), side="right") - 1
-    inside = np.arange(len(four)) + 4 < w.doc_start[last + 1]
+    first = np.flatnonzero((w.data & 0xC0) != 0x80)  # the byte in which each character begins
+    c = np.frombuffer(w.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    four, at = c[: len(c) - 3], first[: len(c) - 3]
+    with np.errstate(over="ignore"):
+        for i in (1, 2, 3):
+            four = four * np.uint32(0x9E3779B1) + c[i : len(c) - 3 + i]
+        four = (((four ^ four >> np.uint32(15)) * np.uint32(2654435761)) >> np.uint32(32 - (BUCKETS.bit_length() - 1))).astype(np.int32)
+    # 4 characters that reach beyond their text are left out.
+    last = np.searchsorted(w.doc_start, at, side="right") - 1
+    inside = first[3 : 3 + len(at)] < w.doc_start[last + 1] - 1
     return [(w.doc, one), (w.doc[1:][within], two + BUCKETS), (last[inside], four[inside] + 2 * BUCKETS)]
 
 
@@ -90,8 +94,8 @@ class QualityModel:
 def labelled(documents: DataFrame, labels: DataFrame, rows: int, label: str = "quality") -> DataFrame:
     """(doc_id, text, label) of at most ``rows`` labelled documents, those whose id hashes lowest.
 
-    Ids labelled both ways, and nulls, are left out; a document that occurs
-    more than once counts as often.
+    Ids labelled both ways, and nulls, are left out; of several texts of one
+    id the least is taken, so ``rows`` bounds what comes out.
     """
     ids = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -99,7 +103,8 @@ def labelled(documents: DataFrame, labels: DataFrame, rows: int, label: str = "q
         .select(F.col("doc_id").alias("__id"), F.col("lo").cast("int").alias("label"))
         .orderBy(F.xxhash64("__id"), "__id").limit(rows)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    held = documents.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))  # ``rows`` ids
+    return held.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def _sparse(df: DataFrame) -> list:
@@ -178,7 +183,9 @@ def judge(df: DataFrame, model: QualityModel, keep: list[str], text: str = "text
     """``keep`` of each row beside the base counts, the probability and the verdict (names after ``prefix``).
 
     A null text is an empty one: no words, failed. Equal rows are judged alike
-    and each keeps its row. Nothing is read but the text.
+    and each keeps its row; an empty table gives an empty result. Nothing is
+    read but the text. A ``keep`` column of a made name raises; ``prefix``
+    avoids that.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 3 * BUCKETS doubles at every size of the input
