@@ -3,13 +3,13 @@
 An Aho-Corasick automaton lists the vocabulary's pieces in a word; dynamic
 programming over the places where they end carries the best score and the
 number of pieces, and nothing else. Ties go as in the ``tokenizers`` unigram
-model: of equal scores the earlier start stays. Text is cut at spaces, each
-kept as the mark that begins the next word, and a text begins with one.
+model: of equal scores the earlier start stays. Spaces become marks; a text that does
+not begin with a mark gets one; text is cut before each mark, one that stood in
+the text included.
 """
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 from itertools import chain
 
@@ -26,17 +26,17 @@ _MEMORY = 300_000
 
 
 def read_vocabulary(path: str) -> tuple[tuple[str, float], ...]:
-    """Pieces of a SentencePiece model and their log shares by Zipf's law of the piece's rank.
+    """Pieces of a SentencePiece model and their scores as the file has them.
 
-    The unknown piece is first. Control and byte pieces are left out. The file
-    of the box holds ranks for scores, so the law makes a unigram vocabulary of them.
+    The unknown piece is first. Control and byte pieces are left out. Scores of
+    a BPE model are negative ranks; the best split is the one with the largest
+    sum all the same, and equal sums are common.
     """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    whole = math.log(sum(1 / (r + 1) for r in range(len(pieces))))
-    return (("<unk>", -1000.0), *((p, -math.log(r + 1) - whole) for r, p in enumerate(pieces)))
+    own = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    return (("<unk>", min(map(sp.get_score, own)) - UNKNOWN_PENALTY), *((sp.id_to_piece(i), sp.get_score(i)) for i in own))
 
 
 class UnigramCounter:
@@ -78,7 +78,8 @@ class UnigramCounter:
         if len(self.memory) > _MEMORY:
             self.memory.clear()
         memory = self.memory
-        parts = [t.split(" ") if t else [] for t in texts]
+        marked = [t.replace(" ", MARK) for t in texts]
+        parts = [t.removeprefix(MARK).split(MARK) if t else [] for t in marked]
         for w in set(chain.from_iterable(parts)):
             if w not in memory:
                 memory[w] = self.word(MARK + w)
@@ -94,7 +95,12 @@ def _counter(vocabulary) -> UnigramCounter:
 
 
 def count_tokens(df: DataFrame, vocabulary: tuple[tuple[str, float], ...], keep: list[str], text: str = "text", name: str = "n_tokens") -> DataFrame:
-    """``keep`` of each row beside its number of pieces. Null and empty texts have none; rows come out one for one."""
+    """``keep`` of each row beside its number of pieces.
+
+    Null and empty texts have none; rows come out one for one, repeated ones
+    too, and an empty table gives an empty result. Texts are counted whole; one
+    Arrow batch is in memory at a time. A ``keep`` column of the name made raises.
+    """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary's size
 
     def run(batch: pa.RecordBatch) -> dict:
