@@ -47,21 +47,26 @@ def pack(pieces: list[tuple], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def best_fit(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", source: str = "source", cluster: F.Column | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(id, piece, n_pieces, n_tokens, bin_id, bin_offset) of each piece of each row.
+def best_fit(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", source: str = "source", cluster: F.Column | None = None, tokens: F.Column | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """(id, piece, n_pieces, n_tokens, token_start, bin_id, bin_offset) of each piece of each row.
 
-    A text longer than a bin is cut into full bins of its own and a rest, all
-    of it packed. Pieces of one bin have different sources and duplicate
-    clusters (by default: the lower-cased text); a null source conflicts with
-    nothing. Empty and null texts are one separator. Repeated rows are pieces
+    ``tokens`` is the number of tokens of a row, by default its words and one
+    separator; a column of a tokenizer's counts may stand there. A text longer
+    than a bin is cut into full bins of its own and a rest, all of it packed:
+    tokens ``token_start`` to ``token_start + n_tokens`` of the text lie from
+    ``bin_offset`` on. Pieces of one bin have different sources and duplicate
+    clusters (by default: the words of the lower-cased text in order); a null
+    source conflicts with nothing. Empty and null texts are one separator;
+    an empty table has no bins. Repeated rows are pieces
     of their own, kept apart by their cluster. Bins never span shards; equal
     sizes go by id.
     """
-    cluster = cluster if cluster is not None else F.xxhash64(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    cluster = cluster if cluster is not None else F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+", " ")))
+    tokens = tokens if tokens is not None else word_tokens(text)
     n = df.count()
     shards = max(1, -(-n // shard_docs))
     rows = df.select(
-        F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), cluster.alias("cluster"), word_tokens(text).alias("n"),
+        F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), cluster.alias("cluster"), tokens.cast("long").alias("n"),
     ).withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)).cast("int"))
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, piece int, n_pieces int, n_tokens long, shard int, bin int, bin_offset long"
@@ -90,4 +95,4 @@ def best_fit(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
         return pa.table([pa.array(c, k) for c, k in zip(cols, types)], names=names)
 
     made = rows.groupBy("shard").applyInArrow(run, schema)
-    return made.select(F.col("id").alias(id_col), "piece", "n_pieces", "n_tokens", (F.col("shard").cast("long") * (1 << 32) + F.col("bin")).alias("bin_id"), "bin_offset")
+    return made.select(F.col("id").alias(id_col), "piece", "n_pieces", "n_tokens", (F.col("piece").cast("long") * capacity).alias("token_start"), (F.col("shard").cast("long") * (1 << 32) + F.col("bin")).alias("bin_id"), "bin_offset")
