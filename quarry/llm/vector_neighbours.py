@@ -31,6 +31,8 @@ NEIGHBOURS, BLOCK, TREES, DESCENTS, ROUNDS = 6, 256, 3, 2, 4
 AUDIT_LINKED, AUDIT_RECALL = 64, 0.98
 #: Classes of a label that are compared exactly at once; the share of a label's classes that an audit asks at most; queries broadcast at once.
 SMALL, AUDIT_SHARE, AUDIT_BATCH = 2 * BLOCK, 1 / 8, 4096
+#: How many times as long as at first a saturated list grows.
+ENLARGED = 4
 _SPREAD = 1 << 40
 
 
@@ -106,10 +108,12 @@ def _compare(df: DataFrame, k: int, threshold: float) -> DataFrame:
     return df.select("members").mapInArrow(run, schema)
 
 
-def _merge(lists: DataFrame, k: int) -> DataFrame:
-    """One list of the ``k`` nearest per id. Equal similarities go by the smaller id."""
+def _merge(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """One list of the nearest per id: ``k``, or twice those at the threshold if these fill it, ENLARGED * ``k`` at most; the components' blocks compare what a longer list would hold. Equal similarities go by the smaller id."""
     each = lists.where("sims is not null").select("id", F.explode(F.arrays_zip("sims", "nbrs")).alias("z")).groupBy("id", F.col("z.nbrs").alias("n")).agg(F.max("z.sims").alias("s"))
-    top = each.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("d"), "n"))), 1, k).alias("t"))
+    near = each.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("d"), "n"))).alias("t"))
+    full = 2 * F.size(F.filter("t", lambda x: x["d"] <= -threshold))
+    top = near.select("id", F.slice("t", F.lit(1), F.greatest(F.lit(k), F.least(full, F.lit(ENLARGED * k)))).alias("t"))
     return top.select("id", F.col("t.n").alias("nbrs"), F.transform("t.d", lambda x: -x).alias("sims"))
 
 
@@ -297,11 +301,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
             own = classes.where((F.length("unit") == size) & F.col("label").isin(list(searched)))
             lists = frames.written(_first_lists(own, searched, seed, size // 8, k, threshold), "lists")
             found = [lists]
-            merged = frames.written(_merge(lists, k), "merged")
+            merged = frames.written(_merge(lists, k, threshold), "merged")
             for _ in range(DESCENTS):
                 lists = frames.written(_descend(merged, own, k, threshold), "lists")
                 found.append(lists)
-                merged = frames.written(_merge(merged.union(lists), k), "merged")
+                merged = frames.written(_merge(merged.union(lists), k, threshold), "merged")
             for lists in found:
                 edges = edges.union(lists.where("sims is null").select(F.col("id").alias("a"), F.col("nbrs")[0].alias("b")))
         comps = frames.components(edges)
