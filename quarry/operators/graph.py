@@ -6,17 +6,15 @@ survive lost executors.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 
 def _saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="quarry-"))
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        shared_folder(df.sparkSession, "graph")
     return df.checkpoint()
 
 
@@ -30,7 +28,7 @@ def bfs(edges: DataFrame, seeds: list, depth: int, mode: str = "out") -> DataFra
     """(node, hop, parent) of all nodes within ``depth`` links of the seeds; the parent is the smallest of those one hop nearer."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    walked = oriented(edges, mode)
+    walked = _saved(oriented(edges, mode))
     seen = spark.createDataFrame([(s, 0, None) for s in sorted(set(seeds))], f"node {kind}, hop int, parent {kind}")
     front = seen
     for hop in range(1, depth + 1):
@@ -56,7 +54,7 @@ def shortest_path(edges: DataFrame, source, target, depth: int = 5, mode: str =
 
 def pattern(edges: DataFrame, seeds: DataFrame, directions: str) -> DataFrame:
     """Nodes at the end of walks that follow ``directions``, a string of ``o`` (out) and ``i`` (in)."""
-    front = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct()
+    front, edges = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct(), _saved(edges)
     for d in directions:
         step = oriented(edges, "out" if d == "o" else "in")
         front = front.join(step, front["node"] == step["src"]).select(F.col("dst").alias("node")).distinct()
@@ -73,6 +71,7 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, seeds: list | None = None) -> DataFrame:
     """(node, rank): ranks sum to 1; the mass of nodes without links out is spread as the restart is (evenly, or over the seeds)."""
+    edges = _saved(edges.select("src", "dst"))
     every = _saved(nodes(edges).join(degrees(edges), "node", "left").fillna(0, ["out_degree"]))
     n = every.count()
     if n == 0:
@@ -91,6 +90,7 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, seed
 
 def hits(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """(node, hub, authority), each scaled to a greatest value of 1."""
+    edges = _saved(edges.select("src", "dst"))
     every = _saved(nodes(edges))
     hub = every.withColumn("hub", F.lit(1.0))
     for _ in range(iterations):

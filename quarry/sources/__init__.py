@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers of files, feeds and vocabularies, and loads that can be run again."""

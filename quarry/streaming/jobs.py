@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.files import shared_folder
 
 
 def windows(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -24,7 +18,7 @@ def windows(events: DataFrame, every: str = "1 hour", late: str = "10 minutes")
 def run_once(stream: DataFrame, key: list[str], folder: str | None = None) -> DataFrame:
     """All that the stream has now, each micro-batch written under its own number, so a batch that runs again replaces itself."""
     spark = stream.sparkSession
-    folder = folder or _folder(spark, "stream")
+    folder = folder or shared_folder(spark, "stream")
     out = f"{folder}/out"
 
     def write(batch: DataFrame, number: int) -> None:
