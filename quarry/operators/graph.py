@@ -40,6 +40,24 @@ def bfs(edges: DataFrame, seeds: list, depth: int, mode: str = "out") -> DataFra
     return seen
 
 
+def oriented_all(edges: DataFrame) -> DataFrame:
+    """Each link twice, from either end; links both ways count as two."""
+    return edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def ball(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """Nodes within ``hops`` links of the seeds (node), either way."""
+    ways, near = _saved(oriented(edges, "all")), seeds.select("node").distinct()
+    for _ in range(hops):
+        near = _saved(near.union(ways.join(near, ways["src"] == near["node"], "left_semi").select("dst")).distinct())
+    return near
+
+
+def induced(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """Links with both ends among ``held`` (node)."""
+    return edges.join(held.select(F.col("node").alias("src")), "src", "left_semi").join(held.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
 def shortest_path(edges: DataFrame, source, target, depth: int = 5, mode: str = "out") -> list:
     """Nodes from source to target, or none; of equal paths that of smallest parents."""
     found = bfs(edges, [source], depth, mode)

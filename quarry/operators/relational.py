@@ -68,3 +68,8 @@ def dense_counts(counts: DataFrame, group: str, year: str, first: int, last: int
     """Counts ``n`` of every group in every year from ``first`` to ``last``, zero where there were none."""
     every = counts.select(group).distinct().withColumn(year, F.explode(F.sequence(F.lit(first), F.lit(last))))
     return every.join(counts, [group, year], "left").fillna(0, ["n"])
+
+
+def drawn(df: DataFrame, group: Sequence[str], key: str, k: int) -> DataFrame:
+    """``k`` rows of each group, drawn by the digest of their key: the same ones in every session."""
+    return top_per_group(df, group, [F.md5(F.col(key).cast("string")).asc(), F.asc(key)], k)

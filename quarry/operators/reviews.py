@@ -68,11 +68,11 @@ def gaps(expected: DataFrame, held: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("missing", F.col("expected") - F.col("held")).where("missing <> 0")
 
 
-def inverted_index(text: Column) -> Column:
-    """Map of each word of a text (cut at single spaces) to its places."""
-    words = F.split(text, " ")
-    own = F.array_distinct(words)
-    return F.map_from_arrays(own, F.transform(own, lambda w: F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == w)))
+def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, index): a map of each word of a text (cut at single spaces) to its places. Ids must be unique; a null text has no row."""
+    words = df.where(F.col(text).isNotNull()).select(id_col, F.posexplode(F.split(text, " ")).alias("p", "w"))
+    placed = words.groupBy(id_col, "w").agg(F.sort_array(F.collect_list("p")).alias("at"))
+    return placed.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
 
 
 def from_inverted_index(index: Column) -> Column:

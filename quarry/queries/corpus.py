@@ -42,17 +42,8 @@ def scope_anti_join(t):
 
 @query("SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY o_totalprice, o_orderkey) AS INT) AS tier FROM orders")
 def ntile_tiers(t):
-    """Ranks come from counts below each price band, so no task sorts all rows: bands are ranged, then offset."""
-    n = t.orders.count()
-    ranged = t.orders.select("o_orderkey", "o_totalprice").repartitionByRange("o_totalprice", "o_orderkey").withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("o_totalprice", "o_orderkey")))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    offset = sizes.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    small, extra = divmod(n, 5)
-    rank = F.col("before") + F.col("rn") - 1
-    head = extra * (small + 1)
-    tier = F.when(rank < head, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - head) / max(small, 1))) + 1
-    return ranged.join(F.broadcast(offset), "part").select("o_orderkey", tier.cast("int").alias("tier"))  # a row a partition
+    """Ranks come from counts below each price band, so no task sorts all rows."""
+    return stats.ntile(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 5, "tier").select("o_orderkey", "tier")
 
 
 @query("SELECT event_type AS tool, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, tool, k LIMIT 20")
@@ -80,10 +71,11 @@ def tfidf_labels(t):
     return relational.top_per_group(s, ["community"], [F.desc("score"), F.asc("term")], 5).select("community", "term", "score", "rn")
 
 
-@query("WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part) SELECT term, round(ln((SELECT count(*) FROM part) * 1.0 / count(*)), 6) AS idf FROM w GROUP BY term HAVING ln((SELECT count(*) FROM part) * 1.0 / count(*)) >= ln(10)")
+@query(f"WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, round(ln(any_value(n) * 1.0 / count(*)), 6) AS idf FROM w, n GROUP BY term HAVING count(*) * 10 <= any_value(n)")
 def specificity_idf(t):
-    df = t.part.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(t.part.agg(F.count("*").alias("n"))).where("n / df >= 10").select("term", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
+    """Terms of at most a tenth of the texts."""
+    df = t.documents.select("doc_id", F.explode(F.array_distinct(retrieval.tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(t.documents.agg(F.count("*").alias("n")))).where("df * 10 <= n").select("term", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))  # one row
 
 
 @query("WITH s AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) SELECT count(*) AS communities, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean, round(median(n), 6) AS median, round(stddev_pop(n), 6) AS std, count(*) FILTER (n = 1) AS singletons FROM s")
@@ -167,26 +159,26 @@ def vec_recommend(t):
 _HITS = "round(len(regexp_extract_all(lower(text), '\\b(?:the|and)\\b')) * 1.0 / (length(text) + 50), 6)"
 
 
-@query(f"SELECT doc_id, {_HITS} AS score FROM documents WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 20")
+@query(f"SELECT doc_id, {_HITS} AS score FROM documents ORDER BY score DESC, doc_id LIMIT 20")
 def section_score(t):
-    return t.documents.where("lang = 'en'").select("doc_id", F.round(retrieval.section_score("text", ["the", "and"]), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return t.documents.select("doc_id", F.round(retrieval.section_score("text", ["the", "and"]), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query(f"SELECT doc_id, {_HITS} AS score FROM documents WHERE lang = 'en' AND list_contains({TOKENS.format('text')}, 'the') AND list_contains({TOKENS.format('text')}, 'and') ORDER BY score DESC, doc_id LIMIT 20")
+@query(f"SELECT doc_id, {_HITS} AS score FROM documents WHERE list_contains({TOKENS.format('text')}, 'the') AND list_contains({TOKENS.format('text')}, 'and') ORDER BY score DESC, doc_id LIMIT 20")
 def lexical_and(t):
-    return retrieval.match_all(t.documents.where("lang = 'en'"), "doc_id", "text", ["the", "and"], 20)
+    return retrieval.match_all(t.documents, "doc_id", "text", ["the", "and"], 20)
 
 
-@query(f"WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT doc_id, {_HITS} AS score FROM documents WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 50)), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM (SELECT vec_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50)) SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 20")
+@query(f"WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT doc_id, {_HITS} AS score FROM documents ORDER BY score DESC, doc_id LIMIT 50)), b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM (SELECT vec_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50)) SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 20")
 def rrf_hybrid(t):
-    lexical = t.documents.where("lang = 'en'").select("doc_id", F.round(retrieval.section_score("text", ["the", "and"]), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    lexical = t.documents.select("doc_id", F.round(retrieval.section_score("text", ["the", "and"]), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
     vector = retrieval.vector_search(t.embeddings, "vec_id", "embedding", _query_vector(t), 50).withColumnRenamed("vec_id", "doc_id")
     return retrieval.rrf([lexical, vector], "doc_id", "score")
 
 
-@query("SELECT doc_id, CASE WHEN strpos(lower(text), 'license') > 0 THEN substr(text, greatest(strpos(lower(text), 'license') - 20, 1), 47) ELSE substr(text, 1, 40) END AS snippet FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CASE WHEN strpos(lower(text), 'license') > 0 THEN substr(text, greatest(strpos(lower(text), 'license') - 20, 1), 47) ELSE substr(text, 1, 40) END AS snippet FROM documents")
 def snippet(t):
-    return t.documents.where("lang = 'en'").select("doc_id", retrieval.snippet("text", "license", 20).alias("snippet"))
+    return t.documents.select("doc_id", retrieval.snippet("text", "license", 20).alias("snippet"))
 
 
 @query(f"WITH s AS (SELECT doc_id, len({TOKENS.format('text')}) AS total FROM documents), c AS (SELECT doc_id, total, unnest(generate_series(0, greatest(total - 1, 0), 448)) AS st FROM s WHERE total > 0) SELECT doc_id, CAST(st / 448 AS INT) AS chunk, CAST(least(512, total - st) AS INT) AS n FROM c WHERE least(512, total - st) >= 64 OR st = 0")
@@ -231,11 +223,11 @@ def promote_gate(t):
     return a.crossJoin(b).crossJoin(c).withColumn("accepted", (F.col("n_new") >= 0.98 * F.col("n_old")) & (F.col("orphans") <= 1000))
 
 
-@query("SELECT entity, hits FROM (SELECT user_id AS entity, count(*) AS hits FROM events WHERE event_type <> 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY GROUP BY user_id) ORDER BY hits DESC, entity LIMIT 50")
+@query("SELECT entity, hits FROM (SELECT user_id AS entity, count(*) AS hits FROM events WHERE event_type <> 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY GROUP BY user_id) ORDER BY hits DESC, entity LIMIT 10000")
 def core_promotion(t):
     last = t.events.agg(F.max("ts").alias("last"))
     recent = t.events.crossJoin(F.broadcast(last)).where("event_type <> 'error' and ts >= last - interval 14 days")
-    return recent.groupBy(F.col("user_id").alias("entity")).agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "entity").limit(50)
+    return recent.groupBy(F.col("user_id").alias("entity")).agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "entity").limit(10_000)  # the core's cap
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS INT) AS headings, CAST(len(regexp_extract_all(html, '<p[^>]*>')) AS INT) AS paragraphs FROM pages")
@@ -249,16 +241,13 @@ def session_replay(t):
     return t.conversations.select("conv_id", "turn", "role", F.count("*").over(w).alias("seen"))
 
 
-@query("WITH r AS (SELECT a.vec_id AS q, b.vec_id AS d, CAST(a.label = b.label AS INT) AS rel, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a, embeddings b WHERE a.vec_id <= 5 AND b.vec_id <> a.vec_id), k AS (SELECT * FROM r WHERE rk <= 10), i AS (SELECT sum(1 / log2(x + 1)) AS ideal FROM (SELECT unnest(generate_series(1, 10)) AS x)) SELECT q, round(sum(rel) / 10.0, 6) AS precision_10, round(coalesce(max(rel * 1.0 / rk), 0), 6) AS rr, round(sum(rel / log2(rk + 1)) / max(ideal), 6) AS ndcg FROM k, i GROUP BY q")
+@query("WITH r AS (SELECT a.vec_id AS q, CAST(a.label = b.label AS INT) AS rel, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id), n AS (SELECT q, sum(rel) AS total FROM r GROUP BY q), i AS (SELECT m, sum(1 / log2(x + 1)) AS ideal FROM (SELECT unnest(generate_series(1, 10)) AS m) , (SELECT unnest(generate_series(1, 10)) AS x) WHERE x <= m GROUP BY m) SELECT q, round(sum(rel) / 10.0, 6) AS precision_10, round(coalesce(sum(rel) * 1.0 / nullif(any_value(total), 0), 0), 6) AS recall_10, round(coalesce(max(rel * 1.0 / rk), 0), 6) AS rr, round(coalesce(sum(rel / log2(rk + 1)) / any_value(ideal), 0), 6) AS ndcg FROM r JOIN n USING (q) LEFT JOIN i ON m = least(total, 10) WHERE rk <= 10 GROUP BY q")
 def ir_metrics(t):
-    """Same-label precision, reciprocal rank and nDCG (10 relevant at least) at 10 of a few stated queries."""
-    asked = t.embeddings.where("vec_id <= 5").collect()
-    ranked = None
-    for r in asked:
-        lane = t.embeddings.where(F.col("vec_id") != r.vec_id).select("vec_id", "label", F.round(retrieval.cosine("embedding", [float(x) for x in r.embedding]), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
-        lane = lane.select(F.lit(r.vec_id).alias("q"), (F.col("label") == r.label).cast("int").alias("rel"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "vec_id")).alias("rk"))
-        ranked = lane if ranked is None else ranked.union(lane)
-    import math
-
-    ideal = sum(1 / math.log2(i + 1) for i in range(1, 11))
-    return ranked.groupBy("q").agg(F.round(F.sum("rel") / 10, 6).alias("precision_10"), F.round(F.max(F.col("rel") / F.col("rk")), 6).alias("rr"), F.round(F.sum(F.col("rel") / F.log2(F.col("rk") + 1)) / ideal, 6).alias("ndcg"))
+    """Precision, recall, reciprocal rank and nDCG at 10 of every 20th vector as a query, vectors of its label being relevant."""
+    e = t.embeddings.where("embedding is not null")
+    asked = e.where("vec_id % 20 = 0")
+    hits = retrieval.nearest_in_blocks(e, asked, "vec_id", "embedding", 10)
+    labels, sizes = e.select("vec_id", "label"), e.groupBy("label").agg((F.count("*") - 1).alias("total"))
+    judged = hits.join(labels.select(F.col("vec_id").alias("q"), F.col("label").alias("ql")), "q").join(labels, "vec_id")
+    judged = judged.withColumn("rel", F.coalesce((F.col("label") == F.col("ql")).cast("int"), F.lit(0)))
+    return stats.ranking(judged.join(sizes.withColumnRenamed("label", "ql"), "ql", "left"), "q", "rk", "rel", "total", 10)

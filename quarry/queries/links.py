@@ -130,27 +130,6 @@ def _ranks(start: str, iterations: int) -> str:
     return ", ".join(steps) + f" SELECT node, round(rank, 6) AS rank FROM r{iterations}"
 
 
-@query(_ranks("1.0 / (SELECT count(*) FROM v)", 3))
-def pagerank_3(t):
-    return graph.pagerank(t.graph(), 3).select("node", F.round("rank", 6).alias("rank"))
-
-
-@query(_ranks("CASE WHEN node IN (1, 2) THEN 0.5 ELSE 0.0 END", 3))
-def ppr_3(t):
-    return graph.pagerank(t.graph(), 3, seeds=[1, 2]).select("node", F.round("rank", 6).alias("rank"))
-
-
-@query(f"WITH {GRAPH}, h0 AS (SELECT src AS node, 1.0 AS hub FROM graph UNION SELECT dst, 1.0 FROM graph), a1 AS (SELECT dst AS node, sum(hub) AS x FROM graph JOIN h0 ON src = node GROUP BY dst), b1 AS (SELECT node, x / (SELECT max(x) FROM a1) AS a FROM a1), g1 AS (SELECT src AS node, sum(a) AS x FROM graph JOIN b1 ON dst = node GROUP BY src), h1 AS (SELECT node, x / (SELECT max(x) FROM g1) AS hub FROM g1), a2 AS (SELECT dst AS node, sum(hub) AS x FROM graph JOIN h1 ON src = node GROUP BY dst), b2 AS (SELECT node, x / (SELECT max(x) FROM a2) AS a FROM a2), g2 AS (SELECT src AS node, sum(a) AS x FROM graph JOIN b2 ON dst = node GROUP BY src), h2 AS (SELECT node, x / (SELECT max(x) FROM g2) AS hub FROM g2) SELECT h0.node, round(coalesce(h2.hub, 0), 6) AS hub, round(coalesce(b2.a, 0), 6) AS authority FROM h0 LEFT JOIN h2 USING (node) LEFT JOIN b2 USING (node)")
-def hits_2(t):
-    r = graph.hits(t.graph(), 2)
-    return r.select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
-
-
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 5 < 2), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS node, a AS root FROM ways UNION SELECT b, root FROM walk JOIN ways ON node = a) SELECT node, min(root) AS component FROM walk GROUP BY node")
-def components(t):
-    return graph.components(t.customer.where("c_custkey % 5 < 2").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 7).alias("dst")))
-
-
 def _materialized(sql: str) -> str:
     """Long chains of steps, each read twice, are run once a step."""
     return sql.replace(" AS (", " AS MATERIALIZED (")

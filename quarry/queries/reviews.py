@@ -60,7 +60,7 @@ def fill_gaps(t):
 @query("SELECT item_id, text AS abstract FROM benchmark")
 def reconstruct_abstract(t):
     """Texts through an inverted index and back."""
-    indexed = t.benchmark.select("item_id", reviews.inverted_index(F.col("text")).alias("index"))
+    indexed = reviews.inverted_index(t.benchmark, "item_id", "text")
     return indexed.select("item_id", reviews.from_inverted_index(F.col("index")).alias("abstract"))
 
 
@@ -76,17 +76,17 @@ def correction_merge(t):
     return reviews.corrections(t.events, "user_id", "event_type", "ts", "error").withColumn("retracted_at", F.col("retracted_at").cast("string"))
 
 
-@query("WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, max(ts) FILTER (event_type = 'purchase') AS completed FROM events GROUP BY user_id) SELECT user_id, coalesce(completed + INTERVAL 24 HOUR < now, true) AS stale FROM l, n")
+@query("WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, arg_max(event_type, ts) AS last_status, max(ts) FILTER (event_type = 'purchase') AS completed FROM events GROUP BY user_id) SELECT user_id, last_status, coalesce(completed + INTERVAL 24 HOUR < now, true) AS stale FROM l, n")
 def source_freshness(t):
     now = t.events.agg(F.max("ts").alias("now")).first()["now"]
-    return reviews.freshness(t.events, "user_id", "event_type", "ts", "purchase", F.lit(now).cast("timestamp_ntz")).select("user_id", "stale")
+    return reviews.freshness(t.events, "user_id", "event_type", "ts", "purchase", F.lit(now).cast("timestamp_ntz")).select("user_id", "last_status", "stale")
 
 
-@query("SELECT event_id, round(sum(value) OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS spent FROM events")
+@query("SELECT event_id, round(s, 4) AS spent, s <= 100.005 AS within FROM (SELECT event_id, sum(value) OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM events)")
 def cost_ledger(t):
-    """What each user has spent in a day so far."""
+    """What each user has spent in a day so far, and whether that is within the cap."""
     day = F.struct(F.to_date("ts"), "user_id")
-    return reviews.ledger(t.events.select("event_id", "ts", "user_id", "value"), day, ["ts", "event_id"], "value", 100.0).select("event_id", F.round("spent", 4).alias("spent"))
+    return reviews.ledger(t.events.select("event_id", "ts", "user_id", "value"), day, ["ts", "event_id"], "value", 100.005).select("event_id", F.round("spent", 4).alias("spent"), "within")
 
 
 @query("WITH p AS (SELECT p_brand AS community, count(*) AS n FROM part WHERE p_size <= 10 GROUP BY ALL), t AS (SELECT sum(n) AS total FROM p) SELECT community, n, CASE WHEN n * 1.0 / total >= 0.15 THEN 'core' WHEN n * 1.0 / total >= 0.05 THEN 'supporting' ELSE 'bridging' END AS section FROM p, t")
