@@ -112,6 +112,14 @@ def _to_least(e: DataFrame) -> DataFrame:
     return dealt.join(least, ["a", "salt"]).select("a", "b", "m")
 
 
+def with_totals(df: DataFrame, keys: list[str], total: str, by: str) -> DataFrame:
+    """``df`` with the number of rows of each key; a key's rows are dealt by ``by`` and joined in _SALTS parts."""
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(_SALTS)).cast("int"))
+    part = dealt.groupBy(*keys, "__salt").agg(F.count("*").alias("__c"))
+    whole = part.groupBy(*keys).agg(F.sum("__c").alias(total), F.collect_list("__salt").alias("__salts"))
+    return dealt.join(whole.select(*keys, total, F.explode("__salts").alias("__salt")), [*keys, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as (id, component), component the smallest id.
 

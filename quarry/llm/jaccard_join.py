@@ -399,11 +399,10 @@ def _rest(posts: DataFrame) -> DataFrame:
     which do not meet each other; the other components share blocks.
     """
     big, key = F.col("cnt") >= BLOCK, ["gram", "big", "team"]
-    each = posts.join(posts.groupBy("gram", "comp").agg(F.count("*").alias("cnt")), ["gram", "comp"])
+    each = frames.with_totals(posts, ["gram", "comp"], "cnt", "class")
     each = each.withColumn("big", big).withColumn("team", F.when(big, F.col("comp")).otherwise(F.lit(0)))
-    counts = each.groupBy(*key).agg(F.count("*").alias("len"))
     chunk = (
-        each.join(counts, key).groupBy(*key, F.pmod(F.xxhash64("class"), F.ceil(F.col("len") / BLOCK)).cast("int").alias("c"))
+        frames.with_totals(each, key, "len", "class").groupBy(*key, F.pmod(F.xxhash64("class"), F.ceil(F.col("len") / BLOCK)).cast("int").alias("c"))
         .agg(F.collect_list(F.struct("class", "n", "comp", "shared", "bitmap")).alias("m"))
     )
     chunk = frames.written(chunk.select("gram", "big", "team", F.monotonically_increasing_id().alias("at"), "m"), "blocks")

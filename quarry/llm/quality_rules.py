@@ -145,21 +145,25 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, steps: in
     y = np.array([r.label for r in got], float)
     if len(set(y)) < 2:
         return QualityModel(np.zeros(3 * BUCKETS), 0.0, 0.0, -20.0 if len(y) and y[0] == 0 else 20.0)
-    n = [len(r.features) // 8 for r in got]
+    n = np.array([len(r.features) // 8 for r in got])
     col = np.concatenate([np.frombuffer(r.features, np.int32, k) for r, k in zip(got, n)])
-    val = np.concatenate([np.frombuffer(r.features, np.float32, k, 4 * k) for r, k in zip(got, n)]).astype(float)
-    row = np.repeat(np.arange(len(got)), n)
-    held = np.arange(len(got)) % 4 == 3
+    val = np.concatenate([np.frombuffer(r.features, np.float32, k, 4 * k) for r, k in zip(got, n)])
+    del got
+    filled = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[filled]
+    held = np.arange(len(y)) % 4 == 3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     use = np.where(held, 0.0, np.where(y > 0, 0.5 / max(1, (y[~held] > 0).sum()), 0.5 / max(1, (y[~held] == 0).sum())))
 
     def margin(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, val * w[:-1][col], len(got)) + w[-1]
+        m = np.full(len(y), w[-1])
+        m[filled] += np.add.reduceat(val * w[col], starts) if len(starts) else 0.0
+        return m
 
     def grad(w: np.ndarray) -> np.ndarray:
         e = use * (1 / (1 + np.exp(-np.clip(margin(w), -40, 40))) - y)
-        g = np.append(np.bincount(col, val * e[row], 3 * BUCKETS), e.sum())
+        g = np.append(np.bincount(col, val * np.repeat(e, n), 3 * BUCKETS), e.sum())
         return g + 1e-7 * w
 
     w = _adam(grad, 3 * BUCKETS + 1, steps, 0.5)
@@ -173,6 +177,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, steps: in
         return np.array([(e * at).sum() / spread, e.sum()])
 
     c = _adam(curve, 2, 400, 0.1)
+    frames.release()
     return QualityModel(w[:-1], float(w[-1]), float(c[0] / spread), float(c[1]))
 
 
