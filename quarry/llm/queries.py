@@ -133,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
     "secret_counts": """SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
         CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
         CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex FROM documents""",
-    "shingle_counts": f"""WITH d AS (SELECT doc_id, {_W.format("lower(text)")} AS w FROM documents)
+    "shingle_counts": f"""WITH d AS (SELECT doc_id, {_W.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents)
         SELECT doc_id, CAST(CASE WHEN len(w) > 4 THEN len(list_distinct({_FIVE})) ELSE least(len(w), 1) END AS BIGINT) AS n_shingles FROM d""",
     "packing_totals": f"SELECT doc_id, CAST(len({_W.format('text')}) + 1 AS BIGINT) AS n_tokens, CAST(ceil((len({_W.format('text')}) + 1) / 2048.0) AS BIGINT) AS n_pieces FROM documents",
     "token_lengths": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",

@@ -134,8 +134,7 @@ def _first_lists(classes: DataFrame, per_label: dict, seed: int, dims: int, k: i
 
     coded = frames.arrow_map(classes, run, ["id", "label", "unit"], "codes array<long>").select("id", "label", "unit", F.posexplode("codes").alias("tree", "code"))
     key = ["label", "tree", "code"]
-    counts = coded.groupBy(*key).agg(F.count("*").alias("cnt"))
-    salted = coded.join(counts, key).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("cnt") / BLOCK)))
+    salted = frames.with_totals(coded, key, "cnt", "id").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("cnt") / BLOCK)))
     blocks = salted.groupBy(*key, "salt").agg(F.collect_list(F.struct("id", "unit")).alias("members"))
     return _compare(blocks, k, threshold)
 
@@ -144,8 +143,7 @@ def _descend(lists: DataFrame, classes: DataFrame, k: int, threshold: float) ->
     """One neighbours-of-neighbours join: what stands on a list, or has the list's owner on its own, meets there."""
     edges = lists.select("id", F.explode("nbrs").alias("n"))
     meet = edges.select(F.col("id").alias("at"), F.col("n").alias("id")).union(edges.select(F.col("n").alias("at"), "id")).union(lists.select(F.col("id").alias("at"), "id")).distinct()
-    counts = meet.groupBy("at").agg(F.count("*").alias("cnt"))
-    meet = meet.join(counts, "at").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / BLOCK)))
+    meet = frames.with_totals(meet, ["at"], "cnt", "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / BLOCK)))
     with_vectors = meet.join(classes.select("id", "unit"), "id")
     return _compare(with_vectors.groupBy("at", "salt").agg(F.collect_list(F.struct("id", "unit")).alias("members")), k, threshold)
 
