@@ -153,82 +153,58 @@ def test_secrets_equal_regexes(docs, hard):
     assert s.scan(b"ghp_" + b"a1" * 20)[0][0] == 4
 
 
-def test_kneser_ney_sums_to_one_and_is_exact(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_sums_to_one(spark, order):
     rows = [(1, "a b a c"), (2, "a b"), (3, None), (4, "B c a"), (5, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    m = kneser_ney.train(df)
-    words = ["a", "b", "c", "zz"]
+    m = kneser_ney.train(df, order=order)
     assert (m.n, m.v) == (9 + 5, 4)
     # The probabilities of all next tokens, the end and one unknown word among them, sum to 1.
-    for before in ("", "a ", "b ", "zz "):
-        whole = 10 ** (m.score([(before).encode()])["score"][0])
-        prefix = {w: m.score([(before + w).encode()])["score"][0] for w in words}
-        ends = {w: np.log10(_next(m, w)) for w in words}
-        first = 10 ** (_start(m, before))
-        assert abs(sum(10 ** (prefix[w] - ends[w]) for w in words) / first + whole / first - 1) < 1e-9
+    for before in ("", "a ", "b ", "zz ", "a b ", "a b a ", "b c a "):
+        k = len(before.split())
+        texts = [before.encode()] + [(before + w).encode() for w in ("a", "b", "c", "zz")]
+        doc, _, _, p = m.tokens(texts)
+        assert abs(sum(10 ** p[doc == i][k] for i in range(len(texts))) - 1) < 1e-9
     got = {r.doc_id: r for r in kneser_ney.score(df, m, ["doc_id"]).collect()}
     assert got[3].n_tokens == got[5].n_tokens == 1 and got[4].n_known == 4
     assert abs(got[5].base_score - np.log10((5 + 0.5) / (14 + 0.5 * 5))) < 1e-12
-    assert kneser_ney.train(df.limit(0)).n == 0
+    assert kneser_ney.train(df.limit(0), order=order).n == 0
 
 
-def test_kneser_ney_equals_its_definition(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_equals_its_definition(spark, order):
     rng = random.Random(8)
     texts = [" ".join(rng.choices("abcdefghijkl", [64, 32, 16, 8, 4, 2, 1, 1, 0.5, 0.5, 0.3, 0.3], k=rng.randint(0, 12))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)) + [(99, "a zz b"), (98, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
-    m = kneser_ney.train(df.where("doc_id < 90"))
-    count, total = Counter(), Counter()
-    for t in texts:
-        w = ["<s>", *t.split(), "</s>"]
-        count.update(zip(w, w[1:]))
-    for (u, _), c in count.items():
-        total[u] += c
-    cont = Counter(w for _, w in count)
+    m = kneser_ney.train(df.where("doc_id < 90"), order=order)
+
+    def grams(text):
+        w = ["<s>"] * (order - 1) + text.split() + ["</s>"]
+        return [tuple(w[i : i + order]) for i in range(len(w) - order + 1)]
+
+    count = {order: Counter(g for t in texts for g in grams(t))}
+    for k in range(order - 1, 0, -1):  # continuation counts
+        count[k] = Counter(g[1:] for g in count[k + 1])
 
     def discounts(values):
         n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
         y = n[0] / max(n[0] + 2 * n[1], 1)
         return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) or k / 2 if n[k - 1] and n[0] else k / 2 for k in (1, 2, 3)]
 
-    d, dl = discounts(count.values()), discounts(cont.values())
-    spare = sum(dl[min(c, 3)] for c in cont.values()) / len(count)
+    d = {k: discounts(c.values()) for k, c in count.items()}
 
-    def p(u, w):
-        low = max(cont[w] - dl[min(cont[w], 3)], 0) / len(count) + spare / (len(cont) + 1)
-        if not total[u]:
-            return low
-        rest = sum(d[min(c, 3)] for (a, _), c in count.items() if a == u) / total[u]
-        return max(count[u, w] - d[min(count[u, w], 3)], 0) / total[u] + rest * low
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (len(count[1]) + 1)
+        followers = [c for x, c in count[k].items() if x[:-1] == g[:-1]]
+        if not followers:
+            return p(g[1:])
+        rest = sum(d[k][min(c, 3)] for c in followers) / sum(followers)
+        return max(count[k][g] - d[k][min(count[k][g], 3)], 0) / sum(followers) + rest * p(g[1:])
 
     for r in kneser_ney.score(df.drop("score"), m, ["doc_id", "text"]).collect():
-        w = ["<s>", *(r.text or "").split(), "</s>"]
-        assert abs(r.score - sum(np.log10(p(*x)) for x in zip(w, w[1:]))) < 1e-9
-
-
-def _next(m, word):
-    """The probability that a text's end follows ``word``."""
-    return 10 ** (m.score([word.encode()])["score"][0] - _start(m, word + " "))
-
-
-def _start(m, before):
-    """log10 of the probability of the words of ``before``, without an end."""
-    if not before.strip():
-        return 0.0
-    h, doc = kneser_ney.token_hashes([before.encode()])
-    v = kneser_ney.contexts(h, doc)
-    words, _ = np.unique(h, return_inverse=True)
-    total = m.score([before.encode()])["score"][0]
-    # Take the end's share off: score of the end alone after the last word.
-    end_key = kneser_ney.pair_keys(v[-1:], h[-1:], m.frequent)
-    count, cont = m._find("words", h[-1:], ("count", "cont"))
-    lower = np.maximum(cont - m._discount(cont, m.lower_discounts), 0) / m.bigrams + m.lower_share / (m.v + 1)
-    t, n1, n2, n3 = m._find("contexts", v[-1:], ("total", "n1", "n2", "n3"))
-    if len(m.frequent) and v[-1] in m.frequent:
-        t, n1, n2, n3 = (m.frequent_stats[np.searchsorted(m.frequent, v[-1])][j : j + 1] for j in range(4))
-    c = m._find("bigrams", end_key, ("count",))[0]
-    rest = (m.discounts[0] * n1 + m.discounts[1] * n2 + m.discounts[2] * n3) / np.maximum(t, 1) if t[0] else np.ones(1)
-    p = np.maximum(c - m._discount(c, m.discounts), 0) / np.maximum(t, 1) + rest * lower
-    return total - np.log10(p[0])
+        assert abs(r.score - sum(np.log10(p(g)) for g in grams(r.text or ""))) < 1e-9
 
 
 def plain_components(sets):
