@@ -127,3 +127,21 @@ def upsert(held: DataFrame, incoming: DataFrame, key: list[str], version: str) -
     rest = [c for c in held.columns if c not in key]
     both = held.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
     return both.groupBy(*key).agg(F.max(F.struct(version, "__new", *[c for c in rest if c != version])).alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def bodies(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(corpus_id, body, sections) of JSON records whose content is a list of sections; empty ones drop out, a record without any too.
+
+    A section's name stands before it as ``## name``; ``sections`` keeps name and text.
+    """
+    r = lines.select(F.from_json(value, "corpusid long, content struct<text: array<struct<section: string, text: string>>>").alias("r"))
+    kept = F.filter("r.content.text", lambda s: F.coalesce(s["text"], F.lit("")) != "")
+    r = r.select(F.col("r.corpusid").alias("corpus_id"), kept.alias("sections")).where("corpus_id is not null and size(sections) > 0")
+    named = F.transform("sections", lambda s: F.when(F.coalesce(s["section"], F.lit("")) != "", F.concat(F.lit("## "), s["section"], F.lit("\n\n"), s["text"])).otherwise(s["text"]))
+    return r.select("corpus_id", F.array_join(named, "\n\n").alias("body"), "sections")
+
+
+def cited_intents(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(citing, cited, influential, intents) of JSON citations; without either end there is no row, without intents an empty list."""
+    r = lines.select(F.from_json(value, "citingcorpusid long, citedcorpusid long, isinfluential boolean, intents array<string>").alias("r")).where("r.citingcorpusid is not null and r.citedcorpusid is not null")
+    return r.select(F.col("r.citingcorpusid").alias("citing"), F.col("r.citedcorpusid").alias("cited"), F.coalesce("r.isinfluential", F.lit(False)).alias("influential"), F.coalesce("r.intents", F.array().cast("array<string>")).alias("intents"))
