@@ -20,6 +20,12 @@ BODY_HEADINGS = [
     "abstract", "acknowledgements", "acknowledgments", "analysis", "appendix", "background", "bibliography", "conclusion", "conclusions", "data", "discussion",
     "introduction", "methodology", "methods", "model", "observations", "references", "related work", "results", "summary", "theory",
 ]
+TYPE_TERMS = {
+    "asteroid": "asteroid", "asteroids": "asteroid", "comet": "comet", "comets": "comet", "exoplanet": "exoplanet", "exoplanets": "exoplanet", "instrument": "instrument", "instruments": "instrument",
+    "mission": "mission", "missions": "mission", "spacecraft": "spacecraft", "telescope": "telescope", "telescopes": "telescope",
+}
+MISSIONS = ["Cassini", "Chandra", "Galileo", "HST", "Hubble", "JWST", "Juno", "Kepler", "MAVEN", "Perseverance", "Spitzer", "TESS", "Voyager"]
+TAXONOMY = "BCKLMPSVX"
 HEADINGS_SHARE, COVERAGE_SHARE, OFFSET_SHARE, ENOUGH_HEADINGS, LATE_HEADING = 0.45, 0.45, 0.10, 6, 5000
 
 
@@ -60,6 +66,30 @@ def query_mentions(queries: DataFrame, id_col: str, query: str, names: DataFrame
     return ranked.withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
 
 
+def query_clauses(query: Column, types: dict[str, str] = TYPE_TERMS, missions: list[str] = MISSIONS, taxonomy: str = TAXONOMY) -> Column:
+    """array<struct<type, property, value>>: what a query asks of entities, each clause once; the query's text itself stays whole.
+
+    First the types that its words name, in order; then, if there are any, the
+    missions, as a property of the first type; then ``M-type`` and the like as
+    an asteroid's taxonomy. A null query has none.
+    """
+    q = F.coalesce(query, F.lit(""))
+    words = F.transform(F.regexp_extract_all(q, F.lit("[A-Za-z][A-Za-z0-9]*"), 0), lambda w: F.lower(w))
+
+    def known(table: dict[str, str]) -> Column:
+        m = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+        return F.array_distinct(F.filter(F.transform(words, lambda w: F.element_at(m, w)), lambda x: x.isNotNull()))
+
+    def clauses(values: Column, kind, prop) -> Column:
+        return F.transform(values, lambda x: F.struct((x if kind is None else kind).alias("type"), F.lit(prop).cast("string").alias("property"), F.lit(None).cast("string").alias("value") if prop is None else x.alias("value")))
+
+    named = known(types)
+    flown = F.when(F.size(named) > 0, known({m.lower(): m for m in missions})).otherwise(F.array().cast("array<string>"))
+    letters = F.transform(F.regexp_extract_all(q, F.lit(r"(?U)\b([A-Za-z])-type\b"), 1), lambda x: F.upper(x))
+    classed = F.array_distinct(F.filter(letters, lambda x: F.lit(taxonomy).contains(x)))
+    return F.concat(clauses(named, None, None), clauses(flown, F.get(named, F.lit(0)), "mission"), clauses(classed, F.lit("asteroid"), "taxonomy"))
+
+
 def record_mentions(records: DataFrame, id_col: str, payload: str) -> DataFrame:
     """(id, mention, list) of a JSON payload's lists of names, or of its list ``entities`` where those are empty; blanks drop out, broken payloads have none."""
     p = records.select(id_col, F.from_json(payload, ", ".join(f"{k} array<string>" for k in [*MENTION_LISTS, "entities"])).alias("p"))

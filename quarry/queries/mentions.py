@@ -144,3 +144,12 @@ def citation_intents(t):
     some = F.when(F.col("l_returnflag") == "A", F.array(F.lit("methodology")))
     row = F.struct(F.when(F.col("l_linenumber") != 2, F.col("l_orderkey")).alias("citingcorpusid"), F.col("l_partkey").alias("citedcorpusid"), F.when(F.col("l_returnflag") == "R", True).alias("isinfluential"), some.alias("intents"))
     return records.cited_intents(t.lineitem.select(F.to_json(row).alias("value"))).withColumn("intents", F.array_join("intents", ","))
+
+
+@query("""WITH a AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN ['instrument||', 'telescope||', 'instrument|mission|JWST'] WHEN 1 THEN [] WHEN 2 THEN ['asteroid||', 'asteroid|taxonomy|M'] ELSE ['comet||', 'comet|mission|Hubble', 'asteroid|taxonomy|B'] END AS c FROM supplier)
+SELECT s_suppkey, unnest(c) AS clause FROM a""")
+def ontology_clauses(t):
+    """What queries ask of entities: types, missions beside a type, taxonomies; a mission alone is none."""
+    asked = F.get(F.array(F.lit("JWST instruments, telescopes and jwst Instrument for "), F.lit("Cassini and x2M-type at "), F.lit("M-type asteroids, m-type, Q-type near "), F.lit("b-type Comets of hubble by ")), F.col("s_suppkey") % 4)
+    c = t.supplier.select("s_suppkey", F.explode(mentions.query_clauses(F.concat(asked, "s_name"))).alias("c"))
+    return c.select("s_suppkey", F.concat_ws("|", "c.type", F.coalesce("c.property", F.lit("")), F.coalesce("c.value", F.lit(""))).alias("clause"))

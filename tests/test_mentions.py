@@ -38,3 +38,10 @@ def test_a_run_done_again_replaces_its_links(spark, tmp_path):
     mentions.link_new(spark, rows, "at", lambda r: r.select("id"), table, log, 2)
     assert sorted(map(tuple, spark.read.parquet(table).collect())) == [(1, 1), (2, 1)]
     assert mentions.last_watermark(spark, log).day == 2
+
+
+def test_clauses_of_queries(spark):
+    d = spark.createDataFrame([(1, "Kepler, TESS exoplanets; kepler Telescope"), (2, "Kepler"), (3, "s-type S-type z-type"), (4, ""), (5, None)], "id int, q string")
+    got = {r.id: [tuple(c) for c in r.c] for r in d.select("id", mentions.query_clauses(F.col("q")).alias("c")).collect()}
+    assert got[1] == [("exoplanet", None, None), ("telescope", None, None), ("exoplanet", "mission", "Kepler"), ("exoplanet", "mission", "TESS")]
+    assert got[3] == [("asteroid", "taxonomy", "S")] and got[2] == got[4] == got[5] == []
