@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .entities import resolve
+from .retrieval import nearest_centroid
 
 # Lists of mentions in a record, words that name no entity of their type, headings of a body, shares of a parse's confidence.
 MENTION_LISTS = ["datasets", "instruments", "materials", "methods", "observables", "software"]
@@ -121,6 +122,21 @@ def names_nothing(name: Column, kind: Column) -> Column:
     return F.coalesce(F.when(F.lit(False), False), *[F.when(kind == k, key.isin(words)) for k, words in NO_ENTITIES.items()], F.lit(False))
 
 
+def type_verdicts(found: DataFrame, id_col: str, predicted: str, vector: str, centroids: DataFrame) -> DataFrame:
+    """(id, predicted, classified, agrees) of mentions by the type (type, c) whose centroid is nearest by cosine, ties by type.
+
+    A null or zero vector has no class, and whether it agrees stays null.
+    """
+    near = nearest_centroid(found, id_col, vector, centroids, "type").withColumnRenamed("type", "classified")
+    return found.select(id_col, F.col(predicted).alias("predicted")).join(near, id_col, "left").withColumn("agrees", F.col("classified") == F.col("predicted"))
+
+
+def precision(agrees: Column, filtered: Column, unfiltered: Column, rejected: float = 0.2, unknown: float = 0.5) -> Column:
+    """What share of such mentions is right: as measured with the classifier's consent, else without it; ``rejected`` where it disagrees."""
+    plain = F.coalesce(unfiltered, F.lit(unknown))
+    return F.when(~agrees, rejected).when(agrees, F.coalesce(filtered, plain)).otherwise(plain)
+
+
 def section_digest(heading: str, text: str) -> Column:
     """The SHA-256 of a heading and its text; nulls as empty."""
     return F.sha2(F.concat(F.coalesce(heading, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))), 256)

@@ -101,10 +101,10 @@ def watermark_links(t):
     return t.spark.read.parquet(f"{out}/links").select("user_id", "event_type", "run")
 
 
-@query("SELECT event_type, max(ts) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1 HOUR AS stale FROM events GROUP BY event_type")
+@query("SELECT event_type, max(ts) < TIMESTAMP '2024-01-31 00:30:00' - INTERVAL 1 HOUR AS stale FROM events GROUP BY event_type")
 def watermark_stale(t):
     last = t.events.groupBy("event_type").agg(F.max("ts").alias("last"))
-    return last.select("event_type", mentions.stale(F.col("last"), F.lit("2024-01-31 00:00:00").cast(last.schema["last"].dataType), 1).alias("stale"))
+    return last.select("event_type", mentions.stale(F.col("last"), F.lit("2024-01-31 00:30:00").cast(last.schema["last"].dataType), 1).alias("stale"))
 
 
 @query("SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS sessions, round(avg(CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE 0 END), 6) AS empty_share FROM events WHERE user_id % 10 <> 0 GROUP BY event_type")
@@ -153,3 +153,17 @@ def ontology_clauses(t):
     asked = F.get(F.array(F.lit("JWST instruments, telescopes and jwst Instrument for "), F.lit("Cassini and x2M-type at "), F.lit("M-type asteroids, m-type, Q-type near "), F.lit("b-type Comets of hubble by ")), F.col("s_suppkey") % 4)
     c = t.supplier.select("s_suppkey", F.explode(mentions.query_clauses(F.concat(asked, "s_name"))).alias("c"))
     return c.select("s_suppkey", F.concat_ws("|", "c.type", F.coalesce("c.property", F.lit("")), F.coalesce("c.value", F.lit(""))).alias("clause"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS ty, i, avg(x) AS m FROM e WHERE label < 6 GROUP BY ALL),
+n AS (SELECT ty, sqrt(sum(m * m)) AS l FROM c GROUP BY ty), s AS (SELECT vec_id, ty, round(sum(x * m) / (sqrt(sum(x * x)) * any_value(l)), 9) AS cos FROM e JOIN c USING (i) JOIN n USING (ty) GROUP BY ALL),
+b AS (SELECT vec_id, ty FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ty) = 1)
+SELECT vec_id, ty AS classified, label = ty AS agrees, CASE WHEN label <> ty THEN 0.2 WHEN label < 3 THEN 0.9 WHEN label < 5 THEN 0.6 ELSE 0.5 END AS precision FROM embeddings JOIN b USING (vec_id)""")
+def type_agreement(t):
+    """Each vector's nearest type among the means of six labels, whether that is its label, and the precision to expect."""
+    e = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    mean = e.where("label < 6").select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    c = mean.groupBy(F.col("label").alias("type")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("c"))
+    v = mentions.type_verdicts(e, "vec_id", "label", "v", c)
+    p = mentions.precision(F.col("agrees"), F.when(F.col("predicted") < 3, 0.9), F.when(F.col("predicted") < 5, 0.6))
+    return v.select("vec_id", "classified", "agrees", p.alias("precision"))
