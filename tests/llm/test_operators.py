@@ -207,6 +207,57 @@ def test_kneser_ney_equals_its_definition(spark, order):
         assert abs(r.score - sum(np.log10(p(g)) for g in grams(r.text or ""))) < 1e-9
 
 
+def test_kneser_ney_query_scores_by_trigrams(spark, docs):
+    """The whole query against modified Kneser-Ney of order 3, on texts long enough for contexts that are not split."""
+    table = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    tokens = {i: ["<s>"] * 2 + [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(table))] + ["</s>"] for i, t in texts_of(docs).items()}
+    trained = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    count = {3: Counter(g for w in trained for g in zip(w, w[1:], w[2:]))}
+    count[2] = Counter(g[1:] for g in count[3])
+    count[1] = Counter(g[1:] for g in count[2])
+    d, total, rest = {}, {k: Counter() for k in count}, {k: Counter() for k in count}
+    for k, grams in count.items():
+        n = [sum(c == j for c in grams.values()) for j in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d[k] = [0.0] + [j - (j + 1) * y * n[j] / n[j - 1] for j in (1, 2, 3)]
+        for g, c in grams.items():
+            total[k][g[:-1]] += c
+            rest[k][g[:-1]] += d[k][min(c, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (len(count[1]) + 1)
+        k, t = len(g), total[len(g)][g[:-1]]
+        if not t:
+            return p(g[1:])
+        return (max(count[k][g] - d[k][min(count[k][g], 3)], 0) + rest[k][g[:-1]] * p(g[1:])) / t
+
+    got = queries.op5_kneser_ney(spark, DIR).collect()
+    assert len(got) == len(tokens)
+    assert sum(len(w) - 2 for w in trained) > 2 * 4096  # else every context that is seen twice is split
+    for r in got:
+        w = tokens[r.doc_id]
+        assert r.n_tokens == len(w) - 2
+        assert abs(r.score - sum(np.log10(p(g)) for g in zip(w, w[1:], w[2:]))) < 1e-6
+
+
+def test_kneser_ney_finds_keys_of_equal_middle_bits(tmp_path):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) << np.uint64(1)
+    keys = np.unique(np.concatenate((keys, keys[:500] ^ np.uint64(1), keys[:500] ^ np.uint64(6))))
+    asked = np.unique(np.concatenate((keys, keys ^ np.uint64(9), rng.integers(0, 1 << 63, 500, dtype=np.uint64))))
+    for parts in (1, 3, 7):
+        at = kneser_ney.part_of(keys, parts)
+        for f in range(parts):
+            own = keys[at == f]
+            kneser_ney._save_keyed(tmp_path.as_uri(), f"k{parts}", f, parts, own, np.arange(len(own)).astype(np.uint16))
+        model = kneser_ney.KneserNey(tmp_path.as_uri(), parts)
+        hit, place = model._find(f"k{parts}", asked, 1)
+        assert (hit == np.isin(asked, keys)).all()
+        first = np.searchsorted(at, np.arange(parts))
+        assert (place[hit] + first[kneser_ney.part_of(asked[hit], parts)] == np.arange(len(keys))).all()
+
+
 def plain_components(sets):
     ids, par = sorted(sets), {i: i for i in sets}
 
