@@ -241,6 +241,34 @@ def test_kneser_ney_query_scores_by_trigrams(spark, docs):
         assert abs(r.score - sum(np.log10(p(g)) for g in zip(w, w[1:], w[2:]))) < 1e-6
 
 
+def test_kneser_ney_orders_keys_as_a_stable_sort():
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 1 << 12, 5000, dtype=np.uint64) << np.uint64(52) | rng.integers(0, 50, 5000, dtype=np.uint64)
+    hashes = [rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) for n in (0, 1, 2, 5000)]
+    for key in (*hashes, near, rng.integers(0, 9, 5000, dtype=np.uint64), np.zeros(7, np.uint64), near >> np.uint64(40)):
+        order, ordered = kneser_ney._order(key)
+        assert (order == np.argsort(key, kind="stable")).all() and (ordered == np.sort(key)).all()
+        own, which, first = kneser_ney._distinct(key)
+        assert (own == np.unique(key)).all() and (own[which] == key).all() and (first == np.unique(key, return_index=True)[1]).all()
+
+
+def test_kneser_ney_scores_each_distinct_ngram_once(spark, monkeypatch):
+    m = kneser_ney.train(spark.createDataFrame([(1, "a b a c"), (2, "a b")], "doc_id long, text string"))
+    texts = [b"a b " * 1000, b"", b"zz a b"] * 20
+    alone = [m.tokens([t]) for t in texts]
+    given, plain = [], kneser_ney.contexts
+
+    def counted(columns):
+        given.append(len(columns[0]))
+        return plain(columns)
+
+    monkeypatch.setattr(kneser_ney, "contexts", counted)
+    doc, *got = m.tokens(texts)
+    assert len(doc) > 40000 and max(given) < 20
+    for x, y in zip(got, zip(*(a[1:] for a in alone))):
+        assert (x == np.concatenate(y)).all()
+
+
 def test_kneser_ney_finds_keys_of_equal_middle_bits(tmp_path):
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) << np.uint64(1)
