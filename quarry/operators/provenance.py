@@ -149,3 +149,10 @@ def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
     df = df if after is None else df.where(F.col(key) > after)
     return df.orderBy(key).limit(size)
 
+
+def keyset_batches(df: DataFrame, key: str, after, size: int, name: str = "batch") -> DataFrame:
+    """All rows after a key with the number, from 0, of the page of ``size`` rows by key that holds them: what repeated ``keyset_page`` calls read, numbered in one pass."""
+    from ..functions.stats import running
+
+    rows = df.where(F.col(key).isNotNull() if after is None else F.col(key) > after)
+    return running(rows, [key], F.lit(1)).withColumn(name, F.floor(F.col("before") / size).cast("int")).drop("before", "whole")

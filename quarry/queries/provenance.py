@@ -246,14 +246,7 @@ def grounding(t):
 @query("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 400 AS INT) AS batch FROM events WHERE event_id > 100")
 def keyset_batches(t):
     """Micro-batches by key: each page begins after the last key of the one before."""
-    made, after, n = None, 100, 0
-    while True:
-        page = provenance.keyset_page(t.events.select("event_id"), "event_id", after, 400)
-        top = page.agg(F.max("event_id")).first()[0]
-        if top is None:
-            return made if made is not None else page.withColumn("batch", F.lit(0))
-        own = t.events.select("event_id").where((F.col("event_id") > after) & (F.col("event_id") <= top)).withColumn("batch", F.lit(n))
-        made, after, n = own if made is None else made.union(own), top, n + 1
+    return provenance.keyset_batches(t.events.select("event_id"), "event_id", 100, 400)
 
 
 @query("SELECT CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 8 AS INT) AS shard, count(*) AS n FROM orders GROUP BY ALL")
