@@ -15,6 +15,19 @@ def test_ambiguous_needs_two_types_with_papers(spark):
     assert not any(v[2] for v in found([(10, 40), (11, 10)]).values())
 
 
+def test_a_name_of_many_entities_is_ranked_once_and_dealt_in_packs(spark):
+    n = 2 * mentions.PACK + 3
+    q = spark.range(20).selectExpr("id", "'the Hubble' as q")
+    names = spark.range(n).selectExpr("id as entity", "'hubble' as name", "if(id % 2 = 0, 'mission', 'person') as type")
+    counts = spark.range(1, n).selectExpr("id as entity", "id as papers")
+    found = mentions.query_mentions(q, "id", "q", names, counts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "windowspecdefinition(id" not in plan  # none over the rows of all queries
+    rows = found.collect()
+    assert len(rows) == 20 * n and {(r.entity, r.papers, r["rank"], r.ambiguous) for r in rows} == {(e, e, n - e, True) for e in range(n)}
+    assert all(r.score == r.papers / (n - 1) for r in rows)
+
+
 def test_records_surfaces_and_common_words(spark):
     r = spark.createDataFrame([(1, '{"methods": [" a ", ""], "entities": ["x"]}'), (2, '{"entities": ["x"]}'), (3, "{"), (4, None)], "id int, p string")
     assert sorted(map(tuple, mentions.record_mentions(r, "id", "p").collect())) == [(1, "a", "methods"), (2, "x", "entities")]
