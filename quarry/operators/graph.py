@@ -1,21 +1,32 @@
 """Traversal, ranking and partition measures of directed link graphs.
 
-Iterations are checkpointed to the shared folder so that plans stay short and
-survive lost executors.
+Iterations are saved in the shared folder so that plans stay short and survive
+lost executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder
 
 
+RUN = 1024  # ends of one node's links held as one row
+PART_BYTES, LINK_BYTES = 4 << 20, 1 << 19  # of source files, and of saved links, that one task takes
+
+
 def _saved(df: DataFrame) -> DataFrame:
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        shared_folder(df.sparkSession, "graph")
-    return df.checkpoint()
+    """``df`` written once to the shared folder, as columns: a fraction of a checkpoint's size."""
+    path = shared_folder(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts(df: DataFrame, each: int | None = None) -> int:
+    """In how many parts to deal ``df``, read from files, so that a task's share does not grow with them; two at least, since Spark deals one part anew."""
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return max(2, min(-(-size // (each or PART_BYTES)), 20_000))
 
 
 def oriented(edges: DataFrame, mode: str) -> DataFrame:
@@ -28,7 +39,8 @@ def bfs(edges: DataFrame, seeds: list, depth: int, mode: str = "out") -> DataFra
     """(node, hop, parent) of all nodes within ``depth`` links of the seeds; the parent is the smallest of those one hop nearer."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    walked = _saved(oriented(edges, mode))
+    edges = _saved(edges.select("src", "dst"))
+    walked = oriented_all(edges) if mode == "all" else oriented(edges, mode)
     seen = spark.createDataFrame([(s, 0, None) for s in sorted(set(seeds))], f"node {kind}, hop int, parent {kind}")
     front = seen
     for hop in range(1, depth + 1):
@@ -46,8 +58,8 @@ def oriented_all(edges: DataFrame) -> DataFrame:
 
 
 def ball(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Nodes within ``hops`` links of the seeds (node), either way."""
-    ways, near = _saved(oriented(edges, "all")), seeds.select("node").distinct()
+    """Nodes within ``hops`` links of the seeds (node), either way; ``edges`` are read once a hop."""
+    ways, near = oriented_all(edges), seeds.select("node").distinct()
     for _ in range(hops):
         near = _saved(near.union(ways.join(near, ways["src"] == near["node"], "left_semi").select("dst")).distinct())
     return near
@@ -55,7 +67,9 @@ def ball(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def induced(edges: DataFrame, held: DataFrame) -> DataFrame:
     """Links with both ends among ``held`` (node)."""
-    return edges.join(held.select(F.col("node").alias("src")), "src", "left_semi").join(held.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    for end in ("src", "dst"):
+        edges = edges.join(held.select(F.col("node").alias(end)).hint("shuffle_hash"), end, "left_semi")
+    return edges.select("src", "dst")
 
 
 def shortest_path(edges: DataFrame, source, target, depth: int = 5, mode: str = "out") -> list:
@@ -87,6 +101,24 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
+def _dealt(links: DataFrame, by: str, held: str | Column) -> DataFrame:
+    """(``by``, held): what stands at the other ends of links, as lists of up to ``RUN``, saved: what a round joins to a value of ``by``."""
+    links = _saved(links)
+    w = Window.partitionBy(by).orderBy(by)
+    ranked = links.repartition(parts(links, LINK_BYTES), by).withColumn("__run", F.floor((F.row_number().over(w) - 1) / RUN))
+    return _saved(ranked.groupBy(by, "__run").agg(F.collect_list(held).alias("held")).drop("__run"))
+
+
+def _met(dealt: DataFrame, by: str, values: DataFrame) -> DataFrame:
+    """Lists joined to the ``values`` of ``by``; a task holds its share of the values, and links stream past."""
+    return dealt.join(values.hint("shuffle_hash"), by)
+
+
+def _flow(dealt: DataFrame, by: str, values: DataFrame) -> DataFrame:
+    """(node, x): at the other ends of links, the sums of ``values`` (``by``, x)."""
+    return _met(dealt, by, values).select(F.explode("held").alias("node"), "x").groupBy("node").agg(F.sum("x").alias("x"))
+
+
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, seeds: list | None = None) -> DataFrame:
     """(node, rank): ranks sum to 1; the mass of nodes without links out is spread as the restart is (evenly, or over the seeds)."""
     edges = _saved(edges.select("src", "dst"))
@@ -109,15 +141,16 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, seed
 def hits(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """(node, hub, authority), each scaled to a greatest value of 1."""
     edges = _saved(edges.select("src", "dst"))
-    every = _saved(nodes(edges))
-    hub = every.withColumn("hub", F.lit(1.0))
+    out, back, every = _dealt(edges, "src", "dst"), _dealt(edges, "dst", "src"), _saved(nodes(edges))
+    hub, top = every.withColumn("hub", F.lit(1.0)), 1.0
     for _ in range(iterations):
-        a = edges.join(hub, edges["src"] == hub["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("hub").alias("authority"))
+        # Sums are saved as they are, and scaled where they are read: each is made once.
+        a = _saved(_flow(out, "src", hub.select(F.col("node").alias("src"), (F.col("hub") / top).alias("x"))).select("node", F.col("x").alias("authority")))
         top = a.agg(F.max("authority")).first()[0] or 1.0
-        authority = _saved(a.withColumn("authority", F.col("authority") / top))
-        h = edges.join(authority, edges["dst"] == authority["node"]).groupBy(F.col("src").alias("node")).agg(F.sum("authority").alias("hub"))
-        top = h.agg(F.max("hub")).first()[0] or 1.0
-        hub = _saved(h.withColumn("hub", F.col("hub") / top))
+        authority = a.withColumn("authority", F.col("authority") / top)
+        hub = _saved(_flow(back, "dst", authority.select(F.col("node").alias("dst"), F.col("authority").alias("x"))).select("node", F.col("x").alias("hub")))
+        top = hub.agg(F.max("hub")).first()[0] or 1.0
+    hub = hub.withColumn("hub", F.col("hub") / top)
     return every.join(hub, "node", "left").join(authority, "node", "left").fillna(0.0, ["hub", "authority"])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import parts
+
 
 class Registry:
     def __init__(self):
@@ -36,7 +38,10 @@ class Tables:
     def graph(self) -> DataFrame:
         """Distinct links of each part to the next one of an order, without loops."""
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        return self.lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and src <> dst").distinct()
+        rows = self.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        n = parts(self.lineitem)
+        linked = rows.repartition(n, "l_orderkey").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and src <> dst")
+        return linked.repartition(n, "src", "dst").distinct()
 
 
 CITES = "cites AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem)"

@@ -60,16 +60,18 @@ def crosswalk(t):
 @query(f"WITH {GRAPH}, s AS (SELECT p_partkey AS n FROM part WHERE p_brand = 'Brand#13'), k AS (SELECT n FROM s UNION SELECT dst FROM graph WHERE src IN (SELECT n FROM s) UNION SELECT src FROM graph WHERE dst IN (SELECT n FROM s)) SELECT src, dst FROM graph WHERE src IN (SELECT n FROM k) AND dst IN (SELECT n FROM k)")
 def corpus_slice(t):
     """The links among some papers and their neighbours."""
-    return graph.induced(t.graph(), graph.ball(t.graph(), t.part.where("p_brand = 'Brand#13'").select(F.col("p_partkey").alias("node")), 1))
+    links = graph._saved(t.graph())
+    return graph.induced(links, graph.ball(links, t.part.where("p_brand = 'Brand#13'").select(F.col("p_partkey").alias("node")), 1))
 
 
 @query(f"WITH {GRAPH}, ways AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph), one AS (SELECT CAST(1 AS BIGINT) AS n UNION SELECT dst FROM ways WHERE src = 1), two AS (SELECT n FROM one UNION SELECT dst FROM ways WHERE src IN (SELECT n FROM one)), k AS (SELECT n FROM two JOIN part ON n = p_partkey ORDER BY n <> 1, p_retailprice DESC, n LIMIT 30) SELECT src, dst FROM graph WHERE src IN (SELECT n FROM k) AND dst IN (SELECT n FROM k)")
 def subgraph_around(t):
     """Two hops about a seed, held to the 30 dearest nodes, the seed among them, and the links among these."""
     seed = t.part.where("p_partkey = 1").select(F.col("p_partkey").alias("node"))
-    near = graph.ball(t.graph(), seed, 2).join(t.part, F.col("node") == F.col("p_partkey"))
+    links = graph._saved(t.graph())
+    near = graph.ball(links, seed, 2).join(t.part, F.col("node") == F.col("p_partkey"))
     held = near.orderBy(F.col("node") != 1, F.desc("p_retailprice"), "node").limit(30).select("node")
-    return graph.induced(t.graph(), held)
+    return graph.induced(links, held)
 
 
 _BFS = f"{GRAPH}, walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM walk JOIN graph ON node = src WHERE hop < 5), d AS (SELECT node, min(hop) AS hop FROM walk GROUP BY node)"
